@@ -42,7 +42,7 @@ MOST_FREQUENT = 1 << 18
 #: An n-gram is reported as frequent by a task that sees it in so many texts.
 SEEN = 4
 #: Hashes that a task gathers before it counts them.
-GATHERED = 4 << 20
+GATHERED = 2 << 20
 FRAGMENTS = 8
 
 WORDS = {"spaced": SPACED, "alnum": ALNUM}
@@ -102,8 +102,12 @@ def _ranked(hashes: np.ndarray, grams: np.ndarray, ranks: np.ndarray) -> np.ndar
 
 
 def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.RecordBatch]:
-    """(gram, cls, n) of the head of each class's ordered set, once for each task."""
-    grams, ranks = sent.value
+    """(gram, cls, n) of the head of each class's ordered set, once for each task.
+
+    With a bitmap, only of the grams that it may hold.
+    """
+    grams, ranks, bits = sent.value
+    bits = None if bits is None else np.frombuffer(bits, dtype=np.uint8)
     told: set[int] = set()
     for _, hashes, first in _sets(batches, words, n):
         rank, cls = _ranked(hashes, grams, ranks), _class_ids(hashes, first)
@@ -116,22 +120,27 @@ def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.Recor
             own, place = hashes[first[d] : first[d + 1]], rank[first[d] : first[d + 1]]
             if place.any():
                 own = own[np.argsort(place, kind="stable")]
-            head = size - -(-percent * size // 100) + 1
-            out.append(own[:head])
-            owner.append(np.full(head, c))
-            sizes.append(np.full(head, size))
+            own = own[: size - -(-percent * size // 100) + 1]
+            if bits is not None:
+                own = own[bitmap_holds(bits, own)]
+            out.append(own)
+            owner.append(np.full(len(own), c))
+            sizes.append(np.full(len(own), size))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(sizes))], names=["gram", "cls", "n"])
 
 
 def _segments(batches, words: str, n: int, sent) -> Iterator[pa.RecordBatch]:
-    """(cls, fragment, grams) of the classes that the bitmap may hold, once for each task."""
-    grams, ranks, bits = sent.value
-    bits = np.frombuffer(bits, dtype=np.uint8)
+    """(cls, fragment, grams) of the classes that the bitmap may hold, from the texts that stand for them.
+
+    Both bitmaps may hold more than they were given, so a class may come twice.
+    """
+    grams, ranks, *maps = sent.value
+    classes, texts = (np.frombuffer(x, dtype=np.uint8) for x in maps)
     told: set[int] = set()
-    for _, hashes, first in _sets(batches, words, n):
+    for ids, hashes, first in _sets(batches, words, n):
         cls = _class_ids(hashes, first)
-        wanted = np.flatnonzero(bitmap_holds(bits, cls) & (np.diff(first) > 0))
+        wanted = np.flatnonzero(bitmap_holds(classes, cls) & bitmap_holds(texts, ids) & (np.diff(first) > 0))
         rows = []
         for d in wanted.tolist():
             c = int(cls[d])
@@ -160,27 +169,36 @@ class _Join:
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) whose summed overlap reaches the similarity."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-        sent = self.spark.sparkContext.broadcast((*self.frequent, bitmap(ends, "cls")))
-        segments = settled(self.texts.mapInArrow(partial(_segments, words=self.words, n=self.n, sent=sent), "cls long, fragment int, grams array<long>"), "segments").dropDuplicates(["cls", "fragment"])
+        ends = settled(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
+        stand = self.members.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+        sent = self.spark.sparkContext.broadcast((*self.frequent, bitmap(ends, "cls"), bitmap(stand, "doc_id")))
+        # read twice rather than stored: the sets are larger than the texts they come from
+        segments = self.texts.mapInArrow(partial(_segments, words=self.words, n=self.n, sent=sent), "cls long, fragment int, grams array<long>")
         one = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
         two = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
-        partial_counts = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
-        summed = partial_counts.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        counted = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("common"))
+        # the maximum is of equal numbers, where a class came twice
+        counted = counted.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
+        summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
         return summed.where(F.expr(f"100 * common >= {self.percent} * (na + nb - common)"))
 
+    def _heads(self, grams: DataFrame | None = None) -> DataFrame:
+        sent = self.spark.sparkContext.broadcast((*self.frequent, None if grams is None else bitmap(grams, "gram")))
+        return self.texts.mapInArrow(partial(_heads, words=self.words, n=self.n, percent=self.percent, sent=sent), "gram long, cls long, n long")
+
     def links(self) -> DataFrame:
         """Edges (a, b) between classes, whose components are those of all similar pairs."""
-        sent = self.spark.sparkContext.broadcast(self.frequent)
-        heads = self.texts.mapInArrow(partial(_heads, words=self.words, n=self.n, percent=self.percent, sent=sent), "gram long, cls long, n long")
-        # a class met by several tasks is there several times: minima don't mind
-        shared = heads.groupBy("gram").agg(F.min(F.struct("cls", "n")).alias("leader"), F.max("cls").alias("last")).where("leader.cls <> last")
-        # which heads remain is settled once; what follows works on these few
-        shared = settled(heads.join(shared.select("gram", "leader"), "gram"), "heads")
-        near = F.expr(f"100 * least(n, leader.n) >= {self.percent} * greatest(n, leader.n)")
-        led = shared.where("cls <> leader.cls").where(near).groupBy("cls", "n", "leader").agg(F.count("*").alias("together"))
-        led = led.groupBy("cls", "n").agg(F.max(F.struct("together", "leader")).alias("best"))
-        stars = settled(self.similar(settled(led.selectExpr("cls a", "best.leader.cls b", "n na", "best.leader.n nb"), "pairs")).select("a", "b"), "stars")
+        # most heads hold grams that no other class has: their rows stop here
+        several = self._heads().groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1")
+        heads = settled(self._heads(several), "heads").distinct()
+        shared = heads.groupBy("gram").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("gram", "leader")
+        shared = settled(heads.join(shared, "gram"), "heads")
+        led = shared.where("cls <> leader").groupBy("cls", "n", "leader").agg(F.count("*").alias("together"))
+        led = led.join(self.members.select(F.col("cls").alias("leader"), F.col("n").alias("ln")).distinct(), "leader")
+        # a leader that shares little of the head is unlikely to be similar; such a class is left to the pairs below
+        led = led.where(F.expr(f"100 * least(n, ln) >= {self.percent} * greatest(n, ln) and 300 * together >= {100 - self.percent} * n"))
+        led = led.groupBy("cls", "n").agg(F.max(F.struct("together", "leader", "ln")).alias("best"))
+        stars = settled(self.similar(settled(led.selectExpr("cls a", "best.leader b", "n na", "best.ln nb"), "pairs")).select("a", "b"), "stars")
         whole = components(stars)
 
         heads = shared.select("gram", "cls", "n").distinct().join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Positions of a bitmap(): 2 MB, however many keys it holds.
-BITMAP_POSITIONS = 1 << 24
+#: Positions of a bitmap(): 8 MB, however many keys it holds.
+BITMAP_POSITIONS = 1 << 26
 
 
 def checkpoint_root(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -48,9 +48,13 @@ SPACED = _without((0x20, 0x20), (0x09, 0x0D))
 
 @dataclass
 class Words:
-    """The words of a block: ``first[d]:first[d + 1]`` are those of text ``d``."""
+    """The words of a block: ``first[d]:first[d + 1]`` are those of text ``d``.
 
-    data: np.ndarray
+    ``raw[edges[d]:edges[d + 1]]`` are its bytes as they were.
+    """
+
+    raw: np.ndarray
+    edges: np.ndarray
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -82,7 +86,7 @@ def scanned(values: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Word
     size, docs = len(data), len(offsets) - 1
     if not size:
         none = np.zeros(0, dtype=np.int64)
-        return Words(data, np.zeros(docs + 1, dtype=np.int64), none, none, none.astype(np.uint64))
+        return Words(values, offsets, np.zeros(docs + 1, dtype=np.int64), none, none, none.astype(np.uint64))
     word = inside[values]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
@@ -92,11 +96,11 @@ def scanned(values: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Word
     ends[:-1] &= ~word[1:]
     ends[edges - 1] = word[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(1 << max(16, int(size).bit_length()))
+    up, down = _powers(1 << max(16, int(size - 1).bit_length()))
     sums = np.zeros(size + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
     hashes = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, np.searchsorted(start, offsets), start, end, hashes)
+    return Words(values, offsets, np.searchsorted(start, offsets), start, end, hashes)
 
 
 def blocks(texts: pa.Array, inside: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
