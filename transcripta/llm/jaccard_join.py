@@ -172,8 +172,7 @@ class _Join:
         ends = settled(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
         stand = self.members.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
         sent = self.spark.sparkContext.broadcast((*self.frequent, bitmap(ends, "cls"), bitmap(stand, "doc_id")))
-        # read twice rather than stored: the sets are larger than the texts they come from
-        segments = self.texts.mapInArrow(partial(_segments, words=self.words, n=self.n, sent=sent), "cls long, fragment int, grams array<long>")
+        segments = settled(self.texts.mapInArrow(partial(_segments, words=self.words, n=self.n, sent=sent), "cls long, fragment int, grams array<long>"), "segments")
         one = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
         two = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
         counted = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("common"))
@@ -191,17 +190,22 @@ class _Join:
         # most heads hold grams that no other class has: their rows stop here
         several = self._heads().groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1")
         heads = settled(self._heads(several), "heads").distinct()
-        shared = heads.groupBy("gram").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("gram", "leader")
-        shared = settled(heads.join(shared, "gram"), "heads")
-        led = shared.where("cls <> leader").groupBy("cls", "n", "leader").agg(F.count("*").alias("together"))
-        led = led.join(self.members.select(F.col("cls").alias("leader"), F.col("n").alias("ln")).distinct(), "leader")
+        several = heads.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram")
+        shared = settled(heads.join(several, "gram", "left_semi"), "heads")
+        # a text that others were changed from has no grams of its own: the class
+        # that shares most of its head leads those that it meets
+        shares = shared.groupBy("cls").agg(F.count("*").alias("shares"))
+        central = shared.join(shares, "cls").select("gram", "cls", "n", F.struct((F.col("shares") / F.col("n")).alias("part"), F.col("cls"), F.col("n")).alias("own"))
+        leaders = central.groupBy("gram").agg(F.max("own").alias("leader"))
+        led = central.select("gram", "cls", "n", "own").join(leaders, "gram").where("leader.part > own.part or leader.part = own.part and leader.cls > cls")
+        led = led.groupBy("cls", "n", "leader").agg(F.count("*").alias("together"))
         # a leader that shares little of the head is unlikely to be similar; such a class is left to the pairs below
-        led = led.where(F.expr(f"100 * least(n, ln) >= {self.percent} * greatest(n, ln) and 300 * together >= {100 - self.percent} * n"))
-        led = led.groupBy("cls", "n").agg(F.max(F.struct("together", "leader", "ln")).alias("best"))
-        stars = settled(self.similar(settled(led.selectExpr("cls a", "best.leader b", "n na", "best.ln nb"), "pairs")).select("a", "b"), "stars")
+        led = led.where(F.expr(f"100 * least(n, leader.n) >= {self.percent} * greatest(n, leader.n) and 300 * together >= {100 - self.percent} * n"))
+        led = led.groupBy("cls", "n").agg(F.max(F.struct("together", "leader")).alias("best"))
+        stars = settled(self.similar(settled(led.selectExpr("cls a", "best.leader.cls b", "n na", "best.leader.n nb"), "pairs")).select("a", "b"), "stars")
         whole = components(stars)
 
-        heads = shared.select("gram", "cls", "n").distinct().join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
+        heads = shared.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
         heads = settled(heads, "heads")
         mixed_grams = heads.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
         heads = heads.join(mixed_grams, "gram", "left_semi")
