@@ -19,17 +19,18 @@ null id are sampled by the hash of "".  Repeated rows are sampled together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import settled
 
 TOPICS = 8
 ROUNDS = 20
-#: Raking rounds in one plan; after them the cells are settled.
-AT_ONCE = 5
-#: Up to so many cells are broadcast; more are joined by their keys.
-MOST_BROADCAST = 50_000
+#: Up to so many cells (a few MB) are raked on the driver and broadcast; more are
+#: raked and joined by their keys.
+MOST_CELLS = 50_000
 DIMENSIONS = ("source", "lang", "topic")
 SEED = "mix-1"
 
@@ -42,8 +43,7 @@ def tokens_of(text: Column) -> Column:
 
 def topic_of(words: Column) -> Column:
     """A bucket of the longest word; 0 without words."""
-    longest = F.array_max(F.transform(words, F.length))
-    first = F.array_min(F.filter(words, lambda w: F.length(w) == longest))
+    first = F.array_min(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word"))))["word"]
     return F.coalesce(F.conv(F.substring(F.md5(first), 1, 4), 16, 10).cast("int") % TOPICS, F.lit(0)).cast("string")
 
 
@@ -53,36 +53,56 @@ def uniform(id_col: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def _share(dimension: str, target: Target) -> Column:
-    """The target share of each cell's value."""
-    if isinstance(target, dict):
-        total = float(sum(target.values()))
-        pairs = [F.lit(x) for item in sorted(target.items()) for x in (item[0], item[1] / total)]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.col(dimension)), F.lit(0.0))
-    return F.pow(F.sum("tokens").over(Window.partitionBy(dimension)).cast("double"), F.lit(float(target)))
+def _targeted(cells: DataFrame, targets: dict[str, Target]) -> DataFrame:
+    """``cells`` with the target shares t_source, t_lang and t_topic."""
+    for d in DIMENSIONS:
+        if isinstance(targets[d], dict):
+            total = float(sum(targets[d].values()))
+            pairs = [F.lit(x) for item in sorted(targets[d].items()) for x in (item[0], item[1] / total)]
+            cells = cells.withColumn(f"t_{d}", F.coalesce(F.element_at(F.create_map(*pairs), F.col(d)), F.lit(0.0)))
+        else:
+            found = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(targets[d]))).alias("found"))
+            found = found.crossJoin(F.broadcast(found.agg(F.sum("found").alias("all"))))  # one row
+            cells = cells.join(found.select(d, F.when(F.col("all") > 0, F.col("found") / F.col("all")).otherwise(0.0).alias(f"t_{d}")), d)
+    return cells
+
+
+def _raked_here(table: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    """Raking of a table of bounded size."""
+    weight = table["tokens"].to_numpy(np.float64)
+    whole = weight.sum()
+    codes = {d: np.unique(table[d], return_inverse=True)[1] for d in DIMENSIONS}
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            own = np.bincount(codes[d], weight)[codes[d]] if len(weight) else weight
+            weight = np.divide(weight * table[f"t_{d}"].to_numpy() * whole, own, out=np.zeros_like(weight), where=own > 0)
+    return table[[*DIMENSIONS, "tokens"]].assign(weight=weight)
 
 
-def raked(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight`` raked to the targets."""
-    for d in DIMENSIONS:
-        cells = cells.withColumn(f"t_{d}", _share(d, targets[d]))
-    for d in DIMENSIONS:
-        if not isinstance(targets[d], dict):
-            # each value counts once, whatever its number of cells
-            once = F.col(f"t_{d}") / F.count("*").over(Window.partitionBy(d))
-            cells = cells.withColumn(f"o_{d}", once)
-    powers = [d for d in DIMENSIONS if not isinstance(targets[d], dict)]
-    totals = cells.agg(F.sum("tokens").cast("double").alias("all"), *(F.sum(f"o_{d}").alias(d) for d in powers)).first()
-    for d in powers:
-        cells = cells.withColumn(f"t_{d}", F.col(f"t_{d}") / F.lit(totals[d] or 1.0)).drop(f"o_{d}")
-    cells = settled(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
-    for done in range(1, rounds + 1):
+def _raked_apart(cells: DataFrame, rounds: int) -> DataFrame:
+    """Raking of a table of any size; each round is settled in the shared folder."""
+    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for _ in range(rounds):
         for d in DIMENSIONS:
-            own = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("weight", F.when(own > 0, F.col("weight") * F.col(f"t_{d}") * F.lit(totals["all"] or 0.0) / own).otherwise(0.0))
-        if done % AT_ONCE == 0 and done < rounds:
-            cells = settled(cells, "cells")
-    return settled(cells.select(*DIMENSIONS, "tokens", "weight"), "cells")
+            own = cells.groupBy(d).agg(F.sum("weight").alias("own"))
+            scaled = F.when(F.col("own") > 0, F.col("weight") * F.col(f"t_{d}") * F.lit(whole) / F.col("own")).otherwise(0.0)
+            cells = cells.join(own, d).withColumn("weight", scaled).drop("own")
+        cells = settled(cells, "cells")
+    return cells.select(*DIMENSIONS, "tokens", "weight")
+
+
+def raked(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, most_here: int = MOST_CELLS) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight`` raked to the targets.
+
+    Up to ``most_here`` cells are raked on the driver, more by joins: the results
+    are the same.
+    """
+    cells = settled(_targeted(cells, targets), "cells")
+    if cells.count() > most_here:
+        return _raked_apart(cells, rounds)
+    table = _raked_here(cells.toPandas().sort_values(list(DIMENSIONS)), rounds)
+    return cells.sparkSession.createDataFrame(table, "source string, lang string, topic string, tokens long, weight double")
 
 
 def mixed(docs: DataFrame, targets: dict[str, Target] | None = None, share: float = 0.5, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -97,7 +117,7 @@ def mixed(docs: DataFrame, targets: dict[str, Target] | None = None, share: floa
         rows = settled(rows, "mixing")
     cells = raked(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), targets, rounds)
     factor = cells.select(*DIMENSIONS, F.round(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0), 6).alias("calibration"))
-    if factor.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if cells.count() <= MOST_CELLS:
         factor = F.broadcast(factor)
     out = rows.join(factor, list(DIMENSIONS))
     probability = F.least(F.lit(1.0), F.col("calibration") * F.lit(float(share)))
