@@ -1,11 +1,422 @@
-"""Registered queries of the archive engine and their SQL."""
+"""Registered queries of the archive engine on the driver tables, each with its SQL.
+
+The driver tables are no session logs: orders stand for sessions, documents for
+search documents, events and conversations for records.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..functions.cursors import Query
+from ..operators import browse, lifecycle, search, secrets, sequences
+from ..sources.transcripts import owners
+from ..streaming import changes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _registered(sql: str):
+    def add(query):
+        QUERIES[query.__name__] = query
+        SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# Search. A document's number is its id, its agent its source; every tenth has no time.
+
+_TIME = "case when doc_id % 10 = 0 then null else (doc_id * 7919) % 100003 end"
+_HIT = "did, agent_id, started_at, round(rank, 9) rank"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("did"), F.col("doc_id").alias("session_id"), F.col("source").alias("agent_id"), F.expr(_TIME).alias("started_at"), "text")
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    return rows.select("did", "agent_id", "started_at", F.round("rank", 9).alias("rank"))
+
+
+def _search_sql(phrases: list[str], where: str = "true", order: str = "rank, started_at desc nulls last, did", limit: int = 50) -> str:
+    counts = []
+    for k, phrase in enumerate(phrases):
+        words = phrase.split()
+        if len(words) == 1:
+            counts.append(f"len(list_filter(w, lambda x: x = '{words[0]}')) tf{k}")
+        else:
+            here = " and ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words))
+            counts.append(f"len(list_filter(range(1, len(w) + 1), lambda i: {here})) tf{k}")
+    score = " + ".join(f"greatest(ln((n - df{k} + 0.5) / (df{k} + 0.5)), 1e-6) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / av))" for k in range(len(phrases)))
+    held = " and ".join(f"tf{k} > 0" for k in range(len(phrases)))
+    return f"""
+with d as (select doc_id did, source agent_id, {_TIME} started_at, lang, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') w from documents),
+c as (select did, agent_id, started_at, lang, len(w) dl, {", ".join(counts)} from d),
+s as (select count(*) n, avg(dl) av, {", ".join(f"count(*) filter (tf{k} > 0) df{k}" for k in range(len(phrases)))} from c),
+r as (select did, agent_id, started_at, lang, -({score}) rank from c, s where {held})
+select {_HIT} from r where {where} order by {order} limit {limit}"""
+
+
+@_registered(_search_sql(["with", "that"]))
+def search_relevance(spark, sf_dir):
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["with", "that"])))
+
+
+@_registered(_search_sql(["with"], order="started_at desc nulls last, did"))
+def search_newest(spark, sf_dir):
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["with"]), "newest"))
+
+
+@_registered(_search_sql(["with"], order="started_at asc nulls last, did"))
+def search_oldest(spark, sf_dir):
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["with"]), "oldest"))
+
+
+@_registered(_search_sql(["of the", "was"]))
+def search_phrase(spark, sf_dir):
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["of-the", "was"])))
+
+
+@_registered(_search_sql(["from", "with", "that", "of"], limit=200))
+def search_multi_term(spark, sf_dir):
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["From", "WITH", "that", "of"]), limit=1000))
+
+
+@_registered(_search_sql(["the"], where="agent_id = 'src1'"))
+def search_filter_agent(spark, sf_dir):
+    return _hits(search.page(search.filtered(search.ranked(_documents(spark, sf_dir), ["the"]), Query(agent="src1"))))
+
+
+@_registered(_search_sql(["the"], where="did in (select doc_id from labels where toxic = 1)"))
+def search_filter_error(spark, sf_dir):
+    calls = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id"), (F.col("toxic") == 1).alias("is_error"))
+    return _hits(search.page(search.filtered(search.ranked(_documents(spark, sf_dir), ["the"]), Query(has_error=True), calls)))
+
+
+@_registered(_search_sql(["the"], where="did in (select doc_id from documents where translate(source || '/' || lang, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like 'src1%/en%')"))
+def search_filter_path(spark, sf_dir):
+    events = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.concat_ws("/", "source", "lang").alias("path"))
+    return _hits(search.page(search.filtered(search.ranked(_documents(spark, sf_dir), ["the"]), Query(path="SRC1%/en"), None, events)))
+
+
+@_registered(_search_sql(["the"], where="did in (select conv_id from conversations where role = 'system')"))
+def search_filter_tool(spark, sf_dir):
+    calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("role").alias("name"))
+    return _hits(search.page(search.filtered(search.ranked(_documents(spark, sf_dir), ["the"]), Query(tool="system"), calls)))
+
+
+@_registered(_search_sql(["with"], where="started_at is null or started_at < 50000 or (started_at = 50000 and did > 17)", order="started_at desc nulls last, did"))
+def search_next_page(spark, sf_dir):
+    cursor = search.search_cursor(-1.5, 50000, 17)
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["with"]), "newest", cursor=cursor))
+
+
+# Browsing
+
+
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders")
+
+
+_ORDER = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate"
+_ORDER_COLUMNS = [c.strip() for c in _ORDER.split(",")]
+_NEWEST = "order by o_orderdate desc nulls last, o_orderkey desc limit"
+
+
+@_registered(f"select {_ORDER} from orders {_NEWEST} 101")
+def sessions_page_first(spark, sf_dir):
+    return browse.newest(_orders(spark, sf_dir).select(_ORDER_COLUMNS), "o_orderdate", "o_orderkey", 101)
+
+
+@_registered(f"select {_ORDER} from orders where o_orderdate < timestamp '1996-06-01' or o_orderdate is null or (o_orderdate = timestamp '1996-06-01' and o_orderkey < 5000) {_NEWEST} 101")
+def sessions_page_next(spark, sf_dir):
+    at = F.lit("1996-06-01").cast("timestamp_ntz")
+    rows = _orders(spark, sf_dir).select(_ORDER_COLUMNS)
+    return browse.newest(rows.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")), "o_orderdate", "o_orderkey", 101, (at, 5000))
+
+
+@_registered(f"select {_ORDER} from orders o where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_suppkey = 7) {_NEWEST} 100")
+def repository_sessions(spark, sf_dir):
+    touched = table(spark, sf_dir, "lineitem").where("l_suppkey = 7").select(F.col("l_orderkey").alias("o_orderkey"))
+    return browse.newest(browse.with_any(_orders(spark, sf_dir).select(_ORDER_COLUMNS), touched, "o_orderkey"), "o_orderdate", "o_orderkey", 100)
+
+
+@_registered(f"select {_ORDER} from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' {_NEWEST} 100")
+def folder_sessions(spark, sf_dir):
+    held = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return browse.newest(_orders(spark, sf_dir).select(_ORDER_COLUMNS).join(held, "o_custkey").select(_ORDER_COLUMNS), "o_orderdate", "o_orderkey", 100)
+
+
+@_registered("""select n_nationkey id, n_name display_name, coalesce((select count(distinct c_custkey) from customer where c_nationkey = n_nationkey), 0) session_count,
+  coalesce((select count(*) from supplier where s_nationkey = n_nationkey), 0) worktree_count from nation""")
+def repository_summary(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display_name"))
+    segments = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("repository_id"), F.col("c_custkey").alias("session_id"))
+    return browse.repository_summary(nations, segments, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("repository_id")))
+
+
+@_registered("select r_regionkey id, r_name \"name\", r_regionkey \"position\", (select count(*) from nation where n_regionkey = r_regionkey) thread_count from region")
+def folder_list(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("position"))
+    return browse.folder_list(regions, table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("folder_id")))
+
+
+@_registered("select source agent_id, count(*) n from documents group by 1")
+def agent_counts(spark, sf_dir):
+    return browse.counts_by(table(spark, sf_dir, "documents").withColumnRenamed("source", "agent_id"), "agent_id")
+
+
+@_registered("""select conv_id, count(*) n, md5(string_agg(turn || ':' || case when role = 'system' then '-' else coalesce(text, '') end, chr(10) order by turn, role, text)) timeline from conversations group by 1""")
+def message_timeline(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    parts = turns.select("conv_id", F.struct("turn", "role", "text").alias("part"), browse.masked_part(F.when(F.col("role") == "system", "opaque").otherwise("text"), F.col("text")).alias("shown"))
+    grouped = parts.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("part", "shown"))).alias("parts"))
+    line = F.transform("parts", lambda p: F.concat(p["part"]["turn"].cast("string"), F.lit(":"), F.coalesce(p["shown"], F.when(p["part"]["role"] == "system", "-").otherwise(""))))
+    return grouped.select("conv_id", "n", F.md5(F.array_join(line, "\n")).alias("timeline"))
+
+
+# Sequences
+
+
+@_registered("""with r as (select o_custkey, o_orderkey, o_orderdate, o_totalprice, row_number() over (partition by o_custkey order by o_orderdate desc nulls last, o_orderkey desc) k from orders)
+select o_custkey, o_orderkey, o_orderdate, o_totalprice from r where k = 1""")
+def latest_by_key(spark, sf_dir):
+    rows = _orders(spark, sf_dir).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return sequences.latest(rows, ["o_custkey"], [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc()])
+
+
+@_registered("""with f as (select *, case when event_type is not distinct from lag(event_type) over w and row_number() over w > 1 then 0 else 1 end fresh from events window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) - 1 segment_ix, row_number() over (partition by user_id order by ts, event_id) - 1 seq from f)
+select user_id, segment_ix::bigint segment_ix, event_type, min(seq) seq_start, max(seq) seq_end from s group by all""")
+def segments(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    order = ["ts", "event_id"]
+    return sequences.island_bounds(sequences.islands(sequences.numbered(events, ["user_id"], order), ["user_id"], order, ["event_type"]), ["user_id"], "seq", ["event_type"])
+
+
+@_registered("""select event_id, last_value(case when event_type = 'view' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) context from events""")
+def context_fill(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "view", F.col("value")).alias("context"))
+    return sequences.filled(events, ["user_id"], ["ts", "event_id"], ["context"]).select("event_id", "context")
+
+
+@_registered("""with c as (select *, last_value(case when event_type = 'click' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) call_event_id from events)
+select event_id, user_id, call_event_id from c where event_type = 'purchase'""")
+def tool_pairing(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    paired = sequences.paired(events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "purchase", ["event_id"])
+    return paired.select("event_id", "user_id", "call_event_id")
+
+
+@_registered("""with own as (select conv_id, sum(case when role <> 'system' then length(text) end) input_tokens, sum(case when role = 'assistant' then length(text) end) output_tokens from conversations group by 1),
+given as (select conv_id, 1000 + conv_id input_tokens, null::bigint output_tokens from conversations where conv_id % 5 = 0 group by 1)
+select conv_id, coalesce(g.input_tokens, o.input_tokens)::bigint input_tokens, coalesce(g.output_tokens, o.output_tokens)::bigint output_tokens from own o left join given g using (conv_id)""")
+def token_totals(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    length = F.length("text").cast("long")
+    own = sequences.totals(turns.select("conv_id", F.when(F.col("role") != "system", length).alias("input_tokens"), F.when(F.col("role") == "assistant", length).alias("output_tokens")), ["conv_id"], ["input_tokens", "output_tokens"])
+    given = turns.where("conv_id % 5 = 0").select("conv_id").distinct().select("conv_id", (F.col("conv_id") + 1000).alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"))
+    return sequences.overridden(own, given, ["conv_id"], ["input_tokens", "output_tokens"])
+
+
+@_registered("""select user_id, min(ts) started_at, max(ts) ended_at, arg_min(event_type, event_id) filter (value > 50) first_type, count(*) n from events group by 1""")
+def session_bounds(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("large", F.when(F.col("value") > 50, F.col("event_type")))
+    return events.groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), sequences.first_there("large", "event_id").alias("first_type"), F.count("*").alias("n"))
+
+
+@_registered("""with f as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over w >= 3600000000 or row_number() over w = 1 then 1 else 0 end fresh from events window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) k from f)
+select user_id, min(ts) "first", max(ts) "last", count(*) n from s group by user_id, k""")
+def debounce_bursts(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    return sequences.debounced(events, ["user_id"], "ts", "1 hour")
+
+
+# Titles, ids, paths, JSON
+
+_ASKED = r"regexp_replace(case when contains(t, '## My request:') then regexp_extract(t, '(?s)^.*?## My request:(.*)$', 1) else t end, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_BOOT = " or ".join(f"starts_with(a, '{x}')" for x in exprs.BOOTSTRAP)
+
+
+@_registered(rf"""with x as (select conv_id, turn, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') t from conversations where role = 'user'),
+a as (select conv_id, turn, {_ASKED} a from x),
+l as (select conv_id, turn, list_filter(list_transform(string_split(a, chr(10)), lambda s: regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^#+', ''), '^[-*]+', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda s: s <> '' and not (starts_with(s, '<') and ends_with(s, '>'))) ls from a where not ({_BOOT})),
+f as (select conv_id, turn, regexp_replace(ls[1], '[\s\p{{Z}}]+', ' ', 'g') f from l where len(ls) > 0)
+select conv_id, arg_min(case when length(f) <= 80 then f else rtrim(f[1:80]) || '…' end, turn) title from f group by 1""")
+def fallback_title(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", exprs.title_of(F.col("text")).alias("title"))
+    return asked.groupBy("conv_id").agg(sequences.first_there("title", "turn").alias("title")).where("title is not null")
+
+
+_FNV = "list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(1, octet_length(encode(s)) + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::hugeint)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616)"
+
+
+@_registered(f"""with x as (select c_custkey, c_name || chr(31) || c_mktsegment s from customer), h as (select c_custkey, {_FNV} h from x)
+select c_custkey, 's_' || lpad(lower(hex(h::uhugeint::ubigint)), 16, '0') id from h""")
+def det_ids(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", exprs.det_id("s", F.col("c_name"), F.col("c_mktsegment")).alias("id"))
+
+
+@_registered(r"""with x as (select page_id, trim(url) u from pages), y as (select page_id, u, regexp_extract(u, '(?s)^.*?://(.*)$', 1) r from x),
+z as (select page_id, u, regexp_replace(lower(regexp_replace(regexp_extract(r, '^([^/]*)', 1), '^.*@', '')), ':(22|80|443|9418)$', '') h, regexp_replace(regexp_replace(regexp_extract(r, '^[^/]*/(.*)$', 1), '^/+|/+$', '', 'g'), '\.git$', '') p from y)
+select page_id, case when h = '' then null when p = '' then h else h || '/' || p end remote from z""")
+def remote_url_norm(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", exprs.normalized_remote(F.col("url")).alias("remote"))
+
+
+@_registered(r"""with x as (select page_id, list_filter(string_split(regexp_replace(url, '\\', '/', 'g'), '/'), lambda s: s not in ('', '.')) p from pages)
+select page_id, array_to_string(list_filter(p, lambda s: not regexp_matches(s, '^[A-Za-z]:$')), '/') path from x""")
+def sanitize_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", exprs.sanitized_path(F.col("url")).alias("path"))
+
+
+@_registered("""with roots as (select * from (values ('http', 'http:/'), ('blog', 'http://blog.tiontion.example.com'), ('secure', 'https:/')) t(agent_id, root))
+select page_id, url, arg_max(agent_id, length(root)) agent_id from pages left join roots on starts_with(url, root || '/') group by all""")
+def path_owner(spark, sf_dir):
+    roots = spark.createDataFrame([("http", "http:/"), ("blog", "http://blog.tiontion.example.com"), ("secure", "https:/")], "agent_id string, root string")
+    return owners(table(spark, sf_dir, "pages").select("page_id", "url").withColumnRenamed("url", "path"), roots).withColumnRenamed("path", "url")
+
+
+@_registered("select event_id, try_cast(json_extract(props, '$.k') as bigint) k, json_extract_string(props, '$.none') none from events")
+def json_fields(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.schema_of_variant(F.try_variant_get(v, "$.k", "variant")) == "BIGINT", F.try_variant_get(v, "$.k", "bigint")).alias("k"), F.try_variant_get(v, "$.none", "string").alias("none"))
+
+
+@_registered("""with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: not starts_with(x, '+++') and not starts_with(x, '---')) l from documents where text <> '')
+select doc_id, len(list_filter(l, lambda x: starts_with(x, '+'))) added, len(list_filter(l, lambda x: starts_with(x, '-'))) removed from l""")
+def diff_line_counts(spark, sf_dir):
+    counted = table(spark, sf_dir, "documents").select("doc_id", exprs.diff_counts(F.col("text")).alias("c")).where("c is not null")
+    return counted.select("doc_id", "c.added", "c.removed")
+
+
+# Secrets
+
+
+@_registered(" union all ".join(f"select doc_id, '{r.name}' rule, len(regexp_extract_all(text, '{r.pattern.replace(chr(39), chr(39) * 2)}')) n from documents where regexp_matches(text, '{r.pattern.replace(chr(39), chr(39) * 2)}')" for r in secrets.RULES))
+def secret_counts(spark, sf_dir):
+    found = secrets.findings(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
+
+
+def _redacting(column: str) -> str:
+    for r in secrets.RULES:
+        column = f"regexp_replace({column}, '{r.pattern.replace(chr(39), chr(39) * 2)}', '{secrets.MARK.format(r.name)}', 'g')"
+    return column
+
+
+@_registered(f"select doc_id, md5({_redacting('text')}) redacted from documents")
+def redacted_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(secrets.redacted_native(F.col("text"))).alias("redacted"))
+
+
+# Lifecycle
+
+
+@_registered("""with h as (select doc_id, lpad(lower(hex(octet_length(encode(text)))), 16, '0') || sha256(text) content_hash from documents where text is not null)
+select content_hash, min(doc_id) doc_id, 'blob_' || content_hash blob_id from h group by 1""")
+def content_dedupe(spark, sf_dir):
+    return lifecycle.deduplicated_content(table(spark, sf_dir, "documents").where("text is not null"), "text", ["doc_id"], ["doc_id"])
+
+
+@_registered("select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_partkey is not null union select l_partkey from lineitem where l_quantity > 45 and l_partkey is not null)")
+def orphan_blobs(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    references = [items.where("l_returnflag = 'R'").select("l_partkey"), items.where("l_quantity > 45").select("l_partkey")]
+    return lifecycle.orphans(table(spark, sf_dir, "part").select("p_partkey", "p_name"), references, "p_partkey")
+
+
+def _jobs(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), state.alias("state"), F.col("o_custkey").alias("priority"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("payload_json"), F.lit(False).alias("redo"))
+
+
+@_registered("select count(*) filter (o_orderstatus = 'O') pending, count(*) filter (o_orderstatus = 'P') running from orders")
+def queue_depth(spark, sf_dir):
+    return lifecycle.queue_depth(_jobs(spark, sf_dir))
+
+
+@_registered("select o_orderkey id, o_custkey priority from orders where o_orderstatus = 'O' order by o_custkey desc, o_orderdate, o_orderkey limit 1")
+def claim_next(spark, sf_dir):
+    return lifecycle.next_jobs(_jobs(spark, sf_dir)).select("id", "priority")
+
+
+@_registered("select o_orderkey id from orders where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey desc offset 500")
+def prune_terminal(spark, sf_dir):
+    done = _jobs(spark, sf_dir).where("state = 'done'").select("id", "created_at")
+    return sequences.kept_newest(done, [F.desc("created_at"), F.desc("id")], 500).select("id")
+
+
+@_registered("""with w as (select o_orderkey + (o_orderkey % 3) id, case when o_orderkey % 2 = 0 then o_orderpriority else 'new' end payload from orders where o_orderkey % 4 < 3),
+u as (select id, min(payload) payload from w group by 1)
+select u.id, case when o.o_orderkey is null then 'enqueued' when o_orderstatus = 'O' then 'coalesced_pending' when o_orderstatus = 'P' then 'marked_redo' when payload = o_orderpriority then 'coalesced_done' else 'enqueued' end outcome,
+  case when o.o_orderkey is null or o_orderstatus = 'O' then 'pending' when o_orderstatus = 'P' then 'running' when payload = o_orderpriority then 'done' else 'pending' end state
+from u left join orders o on u.id = o.o_orderkey""")
+def job_schedule(spark, sf_dir):
+    payload = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("new")
+    wanted = _orders(spark, sf_dir).where("o_orderkey % 4 < 3").select((F.col("o_orderkey") + F.col("o_orderkey") % 3).alias("id"), payload.alias("payload_json")).groupBy("id").agg(F.min("payload_json").alias("payload_json"))
+    return lifecycle.scheduled(_jobs(spark, sf_dir), wanted).select("id", "outcome", "state")
+
+
+@_registered("""with old as (select doc_id, n_chars size, md5(text) h, md5(text[1:100]) p from documents where doc_id % 7 <> 0),
+new as (select doc_id, case when doc_id % 5 = 0 then text || 'more' when doc_id % 5 = 1 then text[1:length(text) - 1] when doc_id % 5 = 2 then '~' || text else text end t from documents),
+n as (select doc_id, length(t) size, md5(t) h, md5(t[1:100]) p from new)
+select n.doc_id::varchar path, case when old.h is null then 'new' when n.h = old.h then 'unchanged' when n.size > old.size and n.p = old.p then 'appended' when n.size < old.size then 'truncated' else 'rewritten' end change,
+  case when old.h is null or n.h = old.h or (n.size > old.size and n.p = old.p) then 0 else 1 end generation from n left join old using (doc_id)""")
+def change_classes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("more"))).when(F.col("doc_id") % 5 == 1, F.expr("substring(text, 1, length(text) - 1)")).when(F.col("doc_id") % 5 == 2, F.concat(F.lit("~"), text)).otherwise(text)
+    path = F.col("doc_id").cast("string").alias("path")
+    old = docs.where("doc_id % 7 <> 0").select(path, F.col("n_chars").alias("size"), F.md5("text").alias("full_hash"), F.md5(F.substring("text", 1, 100)).alias("prefix_hash"), F.lit(0).alias("generation"))
+    # a file's first bytes, as many as the old prefix had: here both have a hundred characters, or all of the old text
+    new = docs.select(path, changed.alias("t")).select("path", F.length("t").cast("long").alias("size"), F.md5("t").alias("full_hash"), F.md5(F.substring("t", 1, 100)).alias("head_hash"))
+    return changes.classified(new, old).select("path", "change", "generation")
+
+
+@_registered("""with old as (select o_orderkey, o_custkey, o_totalprice from orders), new as (select o_orderkey, o_custkey + 1 o_custkey, o_totalprice from orders where o_orderkey % 10 = 3)
+select * from old where o_orderkey not in (select o_orderkey from new) union all select * from new""")
+def replace_by_key(spark, sf_dir):
+    old = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_totalprice")
+    new = old.where("o_orderkey % 10 = 3").withColumn("o_custkey", F.col("o_custkey") + 1)
+    return lifecycle.replaced_by_key(old, new, ["o_orderkey"])
+
 
-def queries():
-    return {}
+@_registered("select p_partkey, p_name from part where translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like 's%'")
+def path_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "part").where(exprs.like_prefix(F.col("p_type"), "S")).select("p_partkey", "p_name")
 
 
-def oracle_sql():
-    return {}
+@_registered("""with m as (select conv_id, turn, '### ' || role || chr(10) || coalesce(text, '') || chr(10) block from conversations),
+b as (select conv_id, count(*) n, string_agg(block, chr(10) order by turn) body from m group by 1)
+select conv_id::varchar session_id, md5('# conversation ' || conv_id || chr(10) || chr(10) || '> chat · ' || n || ' messages · 0 tool calls · ⚠ includes flagged secrets' || chr(10) || chr(10) || body) markdown from b""")
+def export_markdown(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    message_id = F.concat_ws(":", "session_id", "seq")
+    heads = turns.groupBy("session_id").agg(F.count("*").alias("message_count"))
+    tables = {
+        "agent_session": heads.select(F.col("session_id").alias("id"), F.lit("chat").alias("agent_id"), F.concat(F.lit("conversation "), "session_id").alias("title"), "message_count", F.lit(0).cast("long").alias("tool_call_count")),
+        "message": turns.select(message_id.alias("id"), "session_id", "seq", "role"),
+        "message_part": turns.select(message_id.alias("id"), message_id.alias("message_id"), "session_id", "seq", F.lit(0).alias("ordinal").cast("long"), F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("content_json")),
+        "file_event": spark.createDataFrame([], "id string, session_id string, path string, change_kind string"),
+    }
+    return lifecycle.markdown(tables, heads.select("session_id")).select("session_id", F.md5("markdown").alias("markdown"))
