@@ -102,7 +102,7 @@ def _ranked(hashes: np.ndarray, grams: np.ndarray, ranks: np.ndarray) -> np.ndar
 
 
 def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.RecordBatch]:
-    """(gram, cls, n) of the head of each class's ordered set, once for each task.
+    """(gram, cls, n, pos) of the head of each class's ordered set, once for each task.
 
     With a bitmap, only of the grams that it may hold.
     """
@@ -111,7 +111,7 @@ def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.Recor
     told: set[int] = set()
     for _, hashes, first in _sets(batches, words, n):
         rank, cls = _ranked(hashes, grams, ranks), _class_ids(hashes, first)
-        out, owner, sizes = [], [], []
+        out, owner, sizes, places = [], [], [], []
         for d, c in enumerate(cls.tolist()):
             size = int(first[d + 1] - first[d])
             if not size or c in told:
@@ -121,13 +121,16 @@ def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.Recor
             if place.any():
                 own = own[np.argsort(place, kind="stable")]
             own = own[: size - -(-percent * size // 100) + 1]
+            at = np.arange(len(own))
             if bits is not None:
-                own = own[bitmap_holds(bits, own)]
+                at = np.flatnonzero(bitmap_holds(bits, own))
+                own = own[at]
             out.append(own)
+            places.append(at)
             owner.append(np.full(len(own), c))
             sizes.append(np.full(len(own), size))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(sizes))], names=["gram", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["gram", "cls", "n", "pos"])
 
 
 def _segments(batches, words: str, n: int, sent) -> Iterator[pa.RecordBatch]:
@@ -183,7 +186,7 @@ class _Join:
 
     def _heads(self, grams: DataFrame | None = None) -> DataFrame:
         sent = self.spark.sparkContext.broadcast((*self.frequent, None if grams is None else bitmap(grams, "gram")))
-        return self.texts.mapInArrow(partial(_heads, words=self.words, n=self.n, percent=self.percent, sent=sent), "gram long, cls long, n long")
+        return self.texts.mapInArrow(partial(_heads, words=self.words, n=self.n, percent=self.percent, sent=sent), "gram long, cls long, n long, pos long")
 
     def links(self) -> DataFrame:
         """Edges (a, b) between classes, whose components are those of all similar pairs."""
@@ -205,18 +208,21 @@ class _Join:
         stars = settled(self.similar(settled(led.selectExpr("cls a", "best.leader.cls b", "n na", "best.leader.n nb"), "pairs")).select("a", "b"), "stars")
         whole = components(stars)
 
-        heads = shared.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("component"))
+        heads = shared.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
         heads = settled(heads, "heads")
         mixed_grams = heads.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
         heads = heads.join(mixed_grams, "gram", "left_semi")
-        one = heads.selectExpr("gram", "cls a", "n na", "component ca")
-        two = heads.selectExpr("gram", "cls b", "n nb", "component cb")
-        met = one.join(two, "gram").where("a < b and ca <> cb").where(F.expr(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"))
-        # what isn't in the common part of both heads lies behind one of them
-        pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("together"))
+        # the smaller text of a pair has the shorter head: it must share more of itself
         needed = f"ceil({self.percent} * (na + nb) / {100 + self.percent}.0D)"
-        behind = f"(ceil({self.percent} * greatest(na, nb) / 100.0D) - 1)"
-        pairs = settled(pairs.where(F.expr(f"together + {behind} >= {needed}")).select("a", "b", "na", "nb"), "pairs")
+        one = heads.where(F.expr(f"pos <= n - ceil({2 * self.percent} * n / {100 + self.percent}.0D)")).selectExpr("gram", "cls a", "n na", "pos pa", "component ca")
+        two = heads.selectExpr("gram", "cls b", "n nb", "pos pb", "component cb")
+        close = f"(na < nb or na = nb and a < b) and 100 * na >= {self.percent} * nb and pa <= na - {needed} and pb <= nb - {needed}"
+        met = settled(one.join(two, "gram").where(F.expr(f"ca <> cb and {close}")).select("a", "b", "na", "nb").distinct(), "met")
+        # what isn't in the common part of both whole heads lies behind one of them
+        whole_heads = shared.groupBy("cls").agg(F.collect_list("gram").alias("grams"))  # a head is a part of one text
+        together = met.join(whole_heads.selectExpr("cls a", "grams ga"), "a").join(whole_heads.selectExpr("cls b", "grams gb"), "b").withColumn("together", F.size(F.array_intersect("ga", "gb")))
+        behind = f"(ceil({self.percent} * nb / 100.0D) - 1)"
+        pairs = settled(together.where(F.expr(f"together + {behind} >= {needed}")).select("a", "b", "na", "nb"), "pairs")
         return whole.selectExpr("node a", "component b").unionByName(self.similar(pairs).select("a", "b"))
 
 
