@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
+
+_TYPES = {"string": StringType(), "bigint": LongType(), "int": IntegerType(), "boolean": BooleanType(), "double": DoubleType(), "binary": BinaryType()}
 
 
 def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
+    """Columns as "name type, ..."; needs no session, unlike DDL."""
+    out = StructType()
+    for column in text.split(", "):
+        name, kind = column.split(" ")
+        out = out.add(name, _TYPES[kind])
+    return out
 
 
 TABLES: dict[str, StructType] = {
