@@ -209,7 +209,7 @@ def second_pass(labels: list[str]) -> list[bool]:
         elif label == MIDDLING:
             out.append(True)
         else:
-            nearest = min(sides, key=lambda s: (abs(s[1] - k), s[0] == GOOD))
+            nearest = min(sides, key=lambda s: (abs(s[1] - k), s[0] != GOOD))
             out.append(nearest[0] == GOOD)
     return out
 
