@@ -36,13 +36,16 @@ from pyspark.sql import functions as F
 from .shared import bitmap, bitmap_holds, components, settled
 from .wordhash import ALNUM, SPACED, blocks, distinct, mixed, shingles
 
-#: At most so many n-grams are kept as frequent (4 MB with their ranks); with
+#: At most so many n-grams are kept as frequent (16 MB with their ranks); with
 #: more, the least frequent of them are ordered by hash like the rest.
-MOST_FREQUENT = 1 << 18
-#: An n-gram is reported as frequent by a task that sees it in so many texts.
-SEEN = 4
+MOST_FREQUENT = 1 << 20
+#: An n-gram is reported as frequent where a task sees it in so many texts among
+#: those that it gathers.
+SEEN = 2
 #: Hashes that a task gathers before it counts them.
-GATHERED = 2 << 20
+GATHERED = 3 << 20
+#: Counts are compared up to here.
+MOST_SEEN = 10_000
 FRAGMENTS = 8
 
 WORDS = {"spaced": SPACED, "alnum": ALNUM}
@@ -93,12 +96,23 @@ def _classes(batches: Iterator[pa.RecordBatch], words: str, n: int) -> Iterator[
         yield counted()
 
 
-def _ranked(hashes: np.ndarray, grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Place in the global order: 0 for rare n-grams, a rising rank for frequent ones."""
-    if not len(grams) or not len(hashes):
-        return np.zeros(len(hashes), dtype=np.int64)
-    at = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
-    return np.where(grams[at] == hashes, ranks[at], 0)
+class _Order:
+    """Places in the global order: 0 for rare n-grams, a rising rank for frequent ones."""
+
+    def __init__(self, grams: np.ndarray, ranks: np.ndarray):
+        self.grams, self.ranks = grams, ranks
+        # most n-grams are told apart from frequent ones by a table of their first bits
+        self.maybe = np.zeros(1 << 24, dtype=bool)
+        self.maybe[(grams >> np.uint64(40)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), dtype=np.int64)
+        asked = np.flatnonzero(self.maybe[(hashes >> np.uint64(40)).astype(np.int64)])
+        if len(asked):
+            own = hashes[asked]
+            at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+            out[asked] = np.where(self.grams[at] == own, self.ranks[at], 0)
+        return out
 
 
 def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.RecordBatch]:
@@ -107,10 +121,11 @@ def _heads(batches, words: str, n: int, percent: int, sent) -> Iterator[pa.Recor
     With a bitmap, only of the grams that it may hold.
     """
     grams, ranks, bits = sent.value
+    order = _Order(grams, ranks)
     bits = None if bits is None else np.frombuffer(bits, dtype=np.uint8)
     told: set[int] = set()
     for _, hashes, first in _sets(batches, words, n):
-        rank, cls = _ranked(hashes, grams, ranks), _class_ids(hashes, first)
+        rank, cls = order(hashes), _class_ids(hashes, first)
         out, owner, sizes, places = [], [], [], []
         for d, c in enumerate(cls.tolist()):
             size = int(first[d + 1] - first[d])
@@ -139,6 +154,7 @@ def _segments(batches, words: str, n: int, sent) -> Iterator[pa.RecordBatch]:
     Both bitmaps may hold more than they were given, so a class may come twice.
     """
     grams, ranks, *maps = sent.value
+    order = _Order(grams, ranks)
     classes, texts = (np.frombuffer(x, dtype=np.uint8) for x in maps)
     told: set[int] = set()
     for ids, hashes, first in _sets(batches, words, n):
@@ -151,7 +167,7 @@ def _segments(batches, words: str, n: int, sent) -> Iterator[pa.RecordBatch]:
                 continue
             told.add(c)
             own = hashes[first[d] : first[d + 1]]
-            fragment = np.where(_ranked(own, grams, ranks) > 0, FRAGMENTS - 1, (own >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
+            fragment = np.where(order(own) > 0, FRAGMENTS - 1, (own >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
             rows += [(c, f, own[fragment == f].view(np.int64)) for f in np.unique(fragment).tolist()]
         if rows:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]), pa.int32()), pa.array(np.concatenate([r[2] for r in rows])))
@@ -164,8 +180,16 @@ class _Join:
         self.spark = texts.sparkSession
         scanned = settled(texts.mapInArrow(partial(_classes, words=words, n=n), CLASS_SCHEMA), "classes")
         self.members = scanned.where("cls is not null").select("doc_id", "n", "cls")
-        often = scanned.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "gram").limit(MOST_FREQUENT)
-        table = often.toPandas().sort_values(["seen", "gram"])
+        often = scanned.where("gram is not null").groupBy("gram").agg(F.least(F.sum("seen"), F.lit(MOST_SEEN)).alias("seen"))
+        often = settled(often, "often")
+        # the lowest count at which the list keeps its bound; at most MOST_SEEN counts
+        least, total = 0, 0
+        for row in often.groupBy("seen").count().orderBy(F.desc("seen")).collect():
+            total += row["count"]
+            if total > MOST_FREQUENT:
+                least = row.seen + 1
+                break
+        table = often.where(F.col("seen") >= least).toPandas().sort_values(["seen", "gram"])
         grams, ranks = table["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(table) + 1)
         order = np.argsort(grams)
         self.frequent = (grams[order], ranks[order])
