@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..functions.cursors import Query
-from ..operators import browse, lifecycle, search, secrets, sequences
-from ..sources.transcripts import owners
+from ..operators import browse, git_facts, lifecycle, search, secrets, sequences
+from ..sources.transcripts import lines, owners
 from ..streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -420,3 +420,91 @@ def export_markdown(spark, sf_dir):
         "file_event": spark.createDataFrame([], "id string, session_id string, path string, change_kind string"),
     }
     return lifecycle.markdown(tables, heads.select("session_id")).select("session_id", F.md5("markdown").alias("markdown"))
+
+
+# Sources, Git facts, folders and settings
+
+
+@_registered("""with l as (select doc_id, unnest(string_split(text, chr(10))) raw, unnest(range(0, len(string_split(text, chr(10))))) line_no from documents where text is not null),
+o as (select doc_id, line_no, raw, sum(octet_length(encode(raw)) + 1) over (partition by doc_id order by line_no rows unbounded preceding) - octet_length(encode(raw)) - 1 byte_offset from l)
+select 'doc' || doc_id path, line_no, byte_offset::bigint byte_offset, md5(regexp_replace(raw, '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g')) raw from o where regexp_replace(raw, '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g') <> ''""")
+def line_offsets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    files = docs.select(F.lit("codex").alias("agent_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")).withColumn("length", F.length("content"))
+    return lines(files).select("path", "line_no", "byte_offset", F.md5("raw").alias("raw"))
+
+
+@_registered("select event_id, epoch_ms(date_trunc('millisecond', ts)) - 19800000 ms from events")
+def epoch_ms(spark, sf_dir):
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+05:30"))
+    return table(spark, sf_dir, "events").select("event_id", exprs.epoch_ms(text).alias("ms"))
+
+
+@_registered("""with n as (select *, case when n_nationkey % 3 = 0 then [] else [lower('host' || n_regionkey || '.example/' || n_name)] end remotes from nation),
+k as (select *, case when len(remotes) > 0 and n_nationkey % 2 = 0 then 'rr' when len(remotes) > 0 then 'r' else 'gcd' end kind from n)
+select n_nationkey, kind, case when kind = 'r' then 'medium' else 'high' end identity_confidence, case when len(remotes) > 0 then lower(n_name) else n_name end display_name from k""")
+def repository_identity(spark, sf_dir):
+    remote = F.concat(F.lit("https://user:key@HOST"), F.col("n_regionkey").cast("string"), F.lit(".example:443/"), F.lower("n_name"), F.lit(".git"))
+    facts = table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(remote, remote)).alias("remotes"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.md5("n_name"))).otherwise(F.array().cast("array<string>")).alias("roots"),
+        F.lit(False).alias("truncated"),
+        F.concat(F.lit("/repos/"), "n_name", F.lit("/.git")).alias("common_dir"),
+        F.concat(F.lit("/repos/"), "n_name").alias("workdir"),
+    )
+    known = git_facts.identified(facts)
+    return known.select("n_nationkey", F.substring_index("identity_key", ":", 1).alias("kind"), "identity_confidence", "display_name")
+
+
+@_registered("""select 'remote' kind, 'medium' confidence, count(distinct n_regionkey || n_name) n from nation where n_nationkey % 3 <> 0
+union all select 'git_common_dir', 'high', count(*) from nation union all select 'root_set', 'low', count(*) from nation where n_nationkey % 2 = 0""")
+def identity_evidence(spark, sf_dir):
+    remote = F.concat(F.col("n_regionkey").cast("string"), F.lit(".example/"), "n_name")
+    facts = table(spark, sf_dir, "nation").select(
+        F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(remote)).alias("remotes"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.md5("n_name"))).otherwise(F.array().cast("array<string>")).alias("roots"),
+        F.lit(False).alias("truncated"),
+        F.concat(F.lit("/repos/"), "n_name", F.lit("/.git")).alias("common_dir"),
+        F.concat(F.lit("/repos/"), "n_name").alias("workdir"),
+    )
+    return git_facts.evidence(git_facts.identified(facts)).groupBy("kind", "confidence").agg(F.count("*").alias("n"))
+
+
+@_registered("select coalesce(max(r_regionkey), -1) + 1 \"position\" from region")
+def next_folder_position(spark, sf_dir):
+    return lifecycle.next_position(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("position")))
+
+
+@_registered(r"""with x as (select part.*, regexp_replace(p_name || '  ' || chr(8203) || p_type, '[\s\p{Z}\p{Cc}' || chr(8203) || ']+', ' ', 'g') s from part) select p_partkey, trim(trim(s)[1:100]) "name" from x""")
+def folder_names(spark, sf_dir):
+    raw = F.concat("p_name", F.lit("  ​"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", exprs.folder_name(raw).alias("name"))
+
+
+@_registered("""select o_orderkey id, case when o_orderstatus = 'P' and o_custkey % 7 >= 5 then 'failed' when o_orderstatus = 'P' or o_orderstatus = 'O' then 'pending' else 'done' end state,
+  case when o_orderstatus = 'P' and o_custkey % 7 >= 5 then 'poisoned' end error_kind from orders""")
+def job_recovery(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir).withColumns({"attempts": (F.col("priority") % 7).cast("int"), "error_kind": F.lit(None).cast("string")})
+    return lifecycle.recovered(jobs).select("id", "state", "error_kind")
+
+
+@_registered("""with a as (select * from (values ('user'), ('assistant'), ('system'), ('tool')) t(agent_id)) select agent_id, coalesce(n, 0) sessions from a left join (select role, count(distinct conv_id) n from conversations group by 1) on role = agent_id""")
+def detected_agents(spark, sf_dir):
+    agents = spark.createDataFrame([("user",), ("assistant",), ("system",), ("tool",)], "agent_id string")
+    sessions = table(spark, sf_dir, "conversations").select(F.col("role").alias("agent_id"), "conv_id").groupBy("agent_id").agg(F.countDistinct("conv_id").alias("sessions"))
+    return agents.join(sessions, "agent_id", "left").select("agent_id", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
+@_registered("""with p as (select conv_id, turn, lead(turn) over (partition by conv_id order by turn) next_turn from conversations)
+select c.conv_id, c.turn, p.turn parent_turn from conversations c left join p on c.conv_id = p.conv_id and c.turn = p.next_turn""")
+def message_parents(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    ordered = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.withColumn("parent_turn", F.lag("turn").over(ordered))
+
+
+@_registered(r"""with q as (select conv_id, turn, text, regexp_extract_all(text, '(`+)') runs from conversations)
+select conv_id, turn, repeat('`', greatest(3, coalesce(list_max(list_transform(runs, lambda r: length(r))), 0) + 1)::int) fence from q where text is not null""")
+def markdown_fences(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", exprs.fence_of(F.col("text")).alias("fence"))
