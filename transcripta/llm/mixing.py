@@ -62,8 +62,8 @@ def _targeted(cells: DataFrame, targets: dict[str, Target]) -> DataFrame:
             cells = cells.withColumn(f"t_{d}", F.coalesce(F.element_at(F.create_map(*pairs), F.col(d)), F.lit(0.0)))
         else:
             found = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(targets[d]))).alias("found"))
-            found = found.crossJoin(F.broadcast(found.agg(F.sum("found").alias("all"))))  # one row
-            cells = cells.join(found.select(d, F.when(F.col("all") > 0, F.col("found") / F.col("all")).otherwise(0.0).alias(f"t_{d}")), d)
+            total = float(found.agg(F.sum("found")).first()[0] or 1.0)
+            cells = cells.join(found.select(d, (F.col("found") / F.lit(total)).alias(f"t_{d}")), d)
     return cells
 
 
@@ -98,7 +98,7 @@ def raked(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, mo
     Up to ``most_here`` cells are raked on the driver, more by joins: the results
     are the same.
     """
-    cells = settled(_targeted(cells, targets), "cells")
+    cells = settled(_targeted(settled(cells, "cells"), targets), "cells")
     if cells.count() > most_here:
         return _raked_apart(cells, rounds)
     table = _raked_here(cells.toPandas().sort_values(list(DIMENSIONS)), rounds)
