@@ -189,8 +189,10 @@ class _Join:
             if total > MOST_FREQUENT:
                 least = row.seen + 1
                 break
-        table = often.where(F.col("seen") >= least).toPandas().sort_values(["seen", "gram"])
-        grams, ranks = table["gram"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(table) + 1)
+        table = often.where(F.col("seen") >= least).toArrow()
+        grams, seen = table["gram"].to_numpy().view(np.uint64), table["seen"].to_numpy()
+        ranks = np.empty(len(grams), dtype=np.int64)
+        ranks[np.lexsort((grams, seen))] = np.arange(1, len(grams) + 1)
         order = np.argsort(grams)
         self.frequent = (grams[order], ranks[order])
 
