@@ -292,6 +292,35 @@ def test_fuzzy_lines_are_found_and_others_stay(spark):
     assert line_dedup.line_deduplicated(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_lines_that_share_a_band_are_linked_as_by_brute_force(spark):
+    rng, _ = vocabulary(16)
+    lines = []
+    for _ in range(60):
+        stem = "https://exam" + "".join(rng.choice("abcdefghijklmnop") for _ in range(40))
+        lines += [f"{stem}ab", f"{stem}cd"]
+    # a chain: its ends resemble only their neighbours
+    chain = "".join(rng.choice("abcdefghijklmnop") for _ in range(60))
+    for k in range(12):
+        chain = f"{chain[4:]}{''.join(rng.choice('abcdefghijklmnop') for _ in range(4))}"
+        lines.append(chain)
+    texts = spark.createDataFrame(list(enumerate(lines)), "lh long, line string")
+    got = {r.node: r.component for r in components(line_dedup._linked(texts.selectExpr("lh", "1L as key"), texts, 80)).collect()}
+    grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    parent = list(range(len(lines)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(lines)), 2):
+        if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert len({find(k) for k in parent}) == 61
+    assert [got.get(k, k) for k in range(len(lines))] == [find(k) for k in range(len(lines))]
+
+
 # 7
 
 
