@@ -168,6 +168,18 @@ def test_license_base_places_are_those_of_brute_force(spark):
     assert license_scan.license_scan(docs.limit(0)).count() == 0
 
 
+def test_licenses_of_several_notices_are_all_found(spark):
+    rng, v = vocabulary(33)
+    every = license_scan.TEMPLATES
+    chosen = [(1, 7), (1, 2, 7, 10), (3, 7, 10), tuple(range(len(every)))]
+    texts = [" filler words ".join(every[t][1] for t in ts) for ts in chosen] + [" ".join(rng.choices(v, k=30)) for _ in range(200)]
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    for d, ts in enumerate(chosen):
+        assert {every[t][0] for t in ts} == set(got[d].labels.split(",")) - {label for _, label in license_scan.BASE}
+        assert got[d].score >= license_scan.LEAST_SCORE
+    assert all(got[d].labels == "" for d in range(len(chosen), len(texts)))
+
+
 # 4
 
 

@@ -2,9 +2,8 @@
 
 Each licence template is a short word sequence with mandatory key phrases; its
 words with their places are the postings.  Document frequencies of the template
-words are counted over all documents.  Of each document's template words the
-``RAREST`` of highest IDF are looked up, at all their places; a template posts its
-``POSTED`` rarest words.  A posting at place q met at place p votes for the
+words are counted over all documents.  A template posts its ``POSTED`` rarest words
+(highest IDF); all posted words of a document are looked up, at all their places.  A posting at place q met at place p votes for the
 template's start p - q; the votes of one start, weighted by IDF and divided by the
 template's whole weight, are its score.  A template whose best start reaches
 ``least_score`` must also be verified by its key phrases.
@@ -26,8 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Of a document's template words, so many of highest IDF are looked up.
-RAREST = 12
 #: Of a template's words, so many of highest IDF are its postings.
 POSTED = 6
 LEAST_SCORE = 0.7
@@ -118,9 +115,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     idf = idf_of(total, counts)
     postings = _postings(idf)
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("k1"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("k2"), words_of(text_col).alias("words"))
-    # a document's template words, the rarest first
-    ranked = [w for w in sorted(idf, key=lambda w: (-idf[w], w))]
-    rows = rows.withColumn("rare", F.slice(F.array_intersect(F.array(*map(F.lit, ranked)), "words"), 1, RAREST))
+    # a document's posted words: at most POSTED for each template
+    posted = sorted({word for _, word, *_ in postings})
+    rows = rows.withColumn("rare", F.array_intersect(F.array(*map(F.lit, posted)), "words"))
     # the most that any template's score can be, from the words alone
     bounds = []
     for t in range(len(TEMPLATES)):
