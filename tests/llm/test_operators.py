@@ -413,6 +413,23 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = ("the cat is on the mat and it was for the best of them " * 6).strip()
+HAN = "".join(chr(0x4E00 + 7 * k % 500) for k in range(260))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # the body in plain divs, teasers as articles
+        (f"<div><p>{PROSE}</p></div><article><a href=x>Read this next</a></article><article><h3>Other news</h3></article>", PROSE),
+        # text in an article, short and linked blocks outside it
+        (f"<div>Latest</div><main><h1>T</h1><p>{PROSE}</p></main><div><a href=x>all of this is linked</a></div>", f"T\n{PROSE}"),
+    ],
+)
+def test_main_text_by_blocks_inside_and_outside_articles(page, text):
+    assert html_text.main_text(page) == text
+
+
 # 10
 
 

@@ -1,10 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides what it
-can from a block's place (furniture such as menus, footers, forms or comments;
-an article element), its link density, its length and its share of stop words.
-Short and middling blocks stay ambiguous; the second pass gives them the label
-of their nearest decided neighbours.
+A page is cut into blocks at block-level tags.  Furniture (menus, footers, forms,
+comments) goes at once.  The first pass decides what it can from a block's link
+density, its length and its share of stop words, inside and outside an article or
+main element alike.  Stop words count only where they are at least ``FEW_STOPS`` of
+the page's words, so not in languages that the list lacks, and not in listings and
+tables; there length and links decide.  Other blocks stay ambiguous; the second
+pass gives them the label of their nearest decided neighbours.
+
+What an article or main element decides: blocks inside it are never rejected by
+links or stop words alone, neighbours count only on the same side of its border,
+and where a side has none that is decided, the inside stays, unless text was found
+outside only; the outside goes, unless its middling blocks hold more text than all
+articles do.
 
 Null, empty and textless pages give an empty text.  Unclosed and stray tags are
 repaired by nesting; an unclosed comment or script runs to the end of the page.
@@ -44,6 +52,7 @@ _CLOSES_P = _BLOCKS - {"option"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FURNITURE = frozenset("head nav footer aside form button menu dialog title fieldset".split())
 _ARTICLE = frozenset({"article", "main"})
+_LISTINGS = frozenset({"pre", "table"})
 
 # Parts of class, id and role names that mark furniture.
 _MARKS = frozenset(
@@ -75,6 +84,7 @@ class Block:
     text: str
     linked: int
     article: bool
+    listing: bool = False
 
     def link_density(self) -> float:
         return self.linked / len(self.text)
@@ -96,7 +106,7 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
     parts: list[str] = []
-    linked = links = 0
+    linked = links = listings = 0
     furniture = article = False
 
     def ended() -> None:
@@ -104,7 +114,7 @@ def page_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, min(linked, len(text)), article))
+                blocks.append(Block(text, min(linked, len(text)), article, listings > 0))
             parts.clear()
         linked = 0
 
@@ -117,10 +127,11 @@ def page_blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     def context() -> None:
-        nonlocal furniture, article, links
+        nonlocal furniture, article, links, listings
         furniture = bool(stack) and stack[-1][1]
         article = bool(stack) and stack[-1][2]
         links = sum(name == "a" for name, _, _ in stack)
+        listings = sum(name in _LISTINGS for name, _, _ in stack)
 
     last = 0
     for m in _TAG.finditer(page):
@@ -161,25 +172,29 @@ def page_blocks(page: str) -> list[Block]:
         stack.append((name, furniture or own, (article or name in _ARTICLE) and not own))
         furniture, article = stack[-1][1], stack[-1][2]
         links += name == "a"
+        listings += name in _LISTINGS
     told(page[last:])
     ended()
     return blocks
 
 
-def first_pass(block: Block, has_article: bool) -> str:
-    if has_article and not block.article:
-        return BAD
-    links = block.link_density()
-    if links > LINKS and not (block.article and links < 1):
-        return BAD if not block.article else SHORTISH
-    if block.article:
-        return GOOD
+def first_pass(block: Block, covered: bool) -> str:
+    """The label of a block; ``covered``: whether stop words tell anything of the page."""
+    if block.link_density() > LINKS:
+        return SHORTISH if block.article else BAD
     if len(block.text) < SHORT:
         return SHORTISH
     stops = block.stop_density()
+    if block.listing or not covered:
+        stops = MANY_STOPS
     if stops >= MANY_STOPS:
         return GOOD if len(block.text) >= LONG else MIDDLING
-    return MIDDLING if stops >= FEW_STOPS else BAD
+    return MIDDLING if stops >= FEW_STOPS or block.article else BAD
+
+
+def stop_words_tell(blocks: list[Block]) -> bool:
+    words = [w for b in blocks if b.link_density() <= LINKS and not b.listing for w in _WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) >= FEW_STOPS * len(words)
 
 
 def second_pass(labels: list[str]) -> list[bool]:
@@ -214,11 +229,34 @@ def second_pass(labels: list[str]) -> list[bool]:
     return out
 
 
+def chosen(blocks: list[Block]) -> list[bool]:
+    """Which blocks are text, by both passes."""
+    covered = stop_words_tell(blocks)
+    labels = [first_pass(b, covered) for b in blocks]
+    if not any(b.article for b in blocks):
+        return second_pass(labels)
+    found = {b.article for b, label in zip(blocks, labels, strict=True) if label == GOOD}
+    inside = sum(len(b.text) - b.linked for b in blocks if b.article)
+    outside = sum(len(b.text) for b, label in zip(blocks, labels, strict=True) if not b.article and label == MIDDLING)
+    inside_stays = True in found or not (False in found or outside > inside)
+    out: list[bool] = []
+    while len(out) < len(blocks):
+        first = len(out)
+        article = blocks[first].article
+        last = next((k for k in range(first, len(blocks)) if blocks[k].article != article), len(blocks))
+        side = labels[first:last]
+        if GOOD in side or BAD in side and not article:
+            out += second_pass(side)
+        elif article:
+            out += [inside_stays] * len(side)
+        else:
+            out += [label == MIDDLING and outside > inside for label in side]
+    return out
+
+
 def main_text(page: str | None) -> str:
     blocks = page_blocks(page or "")
-    has_article = any(b.article for b in blocks)
-    kept = second_pass([first_pass(b, has_article) for b in blocks])
-    return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(blocks, chosen(blocks), strict=True) if k)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
