@@ -430,6 +430,21 @@ def test_main_text_by_blocks_inside_and_outside_articles(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<article class="post has-sidebar"><p>{PROSE}</p></article>', PROSE),
+        (f'<main id="search-results"><p>{PROSE}</p></main>', PROSE),
+        (f'<div class="content no-sidebar"><p>{PROSE}</p></div><div class="site-footer">foot</div>', PROSE),
+        (f'<div class="search"><main><p>{PROSE}</p></main></div>', PROSE),
+        (f"<div><p>{HAN}</p></div>", HAN),
+        (f"<p>{PROSE}</p><pre>{'x = call(y); ' * 20}</pre><p>{PROSE}</p>", f"{PROSE}\n{('x = call(y); ' * 20).strip()}\n{PROSE}"),
+    ],
+)
+def test_main_text_keeps_whole_articles(page, text):
+    assert html_text.main_text(page) == text
+
+
 # 10
 
 

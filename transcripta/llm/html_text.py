@@ -52,6 +52,7 @@ _CLOSES_P = _BLOCKS - {"option"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FURNITURE = frozenset("head nav footer aside form button menu dialog title fieldset".split())
 _ARTICLE = frozenset({"article", "main"})
+_UNMARKED = _ARTICLE | {"html", "body"}
 _LISTINGS = frozenset({"pre", "table"})
 
 # Parts of class, id and role names that mark furniture.
@@ -62,6 +63,9 @@ _MARKS = frozenset(
     "popup modal widget widgets toolbar pagination pager search form contentinfo complementary hidden".split()
 )
 
+# What names of furniture add to a mark.
+_PLACES = frozenset("site page main global top bottom left right primary secondary list bar box links link area section block posts post items item wrap wrapper container".split())
+
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their there they this to was we were which with you "
@@ -95,9 +99,12 @@ class Block:
 
 
 def _marked(attributes: str) -> bool:
+    """Whether a class, id or role is a mark, or made of marks and ``_PLACES`` only."""
     for m in _NAMED.finditer(attributes):
-        if not _MARKS.isdisjoint(re.split(r"[^a-z]+", m[m.lastindex].lower())):
-            return True
+        for token in m[m.lastindex].lower().split():
+            parts = {p for p in re.split(r"[^a-z]+", token) if p}
+            if not _MARKS.isdisjoint(parts) and parts <= _MARKS | _PLACES:
+                return True
     return False
 
 
@@ -166,10 +173,12 @@ def page_blocks(page: str) -> list[Block]:
             # inline elements left open inside a paragraph end with it
             del stack[next(k for k, s in enumerate(stack) if s[0] == "p") :]
             context()
-        own = name in _FURNITURE or name == "header" and not article or name not in ("html", "body") and bool(m["attributes"].strip()) and _marked(m["attributes"])
+        own = name in _FURNITURE or name == "header" and not article or name not in _UNMARKED and bool(m["attributes"].strip()) and _marked(m["attributes"])
         if m["attributes"].rstrip().endswith("/") and name not in _BLOCKS:
             continue
-        stack.append((name, furniture or own, (article or name in _ARTICLE) and not own))
+        # a mark on a wrapper of the main element is none
+        lifted = name == "main" and not any(n in _FURNITURE or n == "header" for n, _, _ in stack)
+        stack.append((name, furniture and not lifted or own, (article or name in _ARTICLE) and not own))
         furniture, article = stack[-1][1], stack[-1][2]
         links += name == "a"
         listings += name in _LISTINGS
