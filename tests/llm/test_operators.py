@@ -201,6 +201,16 @@ def test_raking_meets_its_targets_on_both_ways(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_sampled_shares_meet_the_targets(spark):
+    import corpus_pipeline
+
+    rows = [(k, "a b c", "en" if k % 8 else "es", "s", 5) for k in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    target = 500**0.5 / (500**0.5 + 3500**0.5)
+    kept = Counter(r.lang for r in corpus_pipeline.mixture(spark, docs, SMALL).collect())
+    assert abs(kept["es"] / sum(kept.values()) - target) < 0.02 and kept["es"] == 500
+
+
 # 5
 
 

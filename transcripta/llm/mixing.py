@@ -5,6 +5,9 @@ the cells' token weights to the target marginals of one dimension after the
 other, for ``rounds`` rounds; a cell's weight over its tokens is its documents'
 calibration, and a document is sampled with probability
 ``min(1, share * calibration)``, by a hash of its id, so any run samples alike.
+A cell whose ``share * calibration`` is above 1 is cut off there, and the targets
+are missed; without a share, it is 1 over the largest calibration, the most at
+which the sample's expected shares are those that raking reached.
 
 A target is a mapping from value to share, or a power: ``0.5`` asks for shares in
 proportion to the square roots of those found, which lifts rare values.  Values
@@ -105,7 +108,7 @@ def raked(cells: DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, mo
     return cells.sparkSession.createDataFrame(table, "source string, lang string, topic string, tokens long, weight double")
 
 
-def mixed(docs: DataFrame, targets: dict[str, Target] | None = None, share: float = 0.5, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, Target] | None = None, share: float | None = 0.5, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Each row's source, lang, topic, n_tokens, calibration, probability and sampled, then ``keep``."""
     targets = targets or {d: 0.5 for d in DIMENSIONS}
     keep = [] if keep is None else keep
@@ -117,6 +120,8 @@ def mixed(docs: DataFrame, targets: dict[str, Target] | None = None, share: floa
         rows = settled(rows, "mixing")
     cells = raked(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), targets, rounds)
     factor = cells.select(*DIMENSIONS, F.round(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0), 6).alias("calibration"))
+    if share is None:
+        share = 1 / max(factor.where("calibration > 0").agg(F.max("calibration")).first()[0] or 1.0, 1.0)
     if cells.count() <= MOST_CELLS:
         factor = F.broadcast(factor)
     out = rows.join(factor, list(DIMENSIONS))
