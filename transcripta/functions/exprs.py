@@ -70,6 +70,12 @@ def sanitized_path(raw: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), walked), "/")
 
 
+def stem_of(path: Column) -> Column:
+    """A file's name without folders and its last ending."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1")
+
+
 def normalized_remote(raw: Column) -> Column:
     """host/path of a Git remote, without credentials, default ports and ``.git``; null if none."""
     url = F.regexp_replace(raw, r"^\s+|\s+$", "")

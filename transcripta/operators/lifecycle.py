@@ -1,7 +1,8 @@
 """Tables that change: keyed merges, forgetting, blobs, folders, settings, jobs, export, backups.
 
 Tables are Parquet directories.  A write makes a new version of a table beside the
-old one and then moves a pointer, so readers see one whole version.
+old one; Spark's own mark of a finished write makes it current, so readers see one
+whole version of each table.
 """
 
 from __future__ import annotations
@@ -99,11 +100,11 @@ class Archive:
         for name in OF_SESSION:
             if name not in keep:
                 new = tables.get(name)
-                new = self.spark.createDataFrame([], TABLES[name]) if new is None else self._shaped(name, new)
+                new = self.spark.createDataFrame([], TABLES[name]) if new is None else self.shaped(name, new)
                 self.write(name, replaced_of_sessions(self.read(name), new, sessions))
-        self.merge("agent_session", self._shaped("agent_session", tables["agent_session"]))
+        self.merge("agent_session", self.shaped("agent_session", tables["agent_session"]))
 
-    def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
+    def shaped(self, table: str, rows: DataFrame) -> DataFrame:
         """Columns that a producer never fills are null."""
         return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table]))
 
@@ -123,6 +124,42 @@ class Archive:
             if name not in stay:
                 self.write(name, self.spark.createDataFrame([], schema))
 
+    def purge(self) -> list[str]:
+        """Drops every copy that forgotten rows could be read from: older versions of all tables, and all backups."""
+        self.prune(1)
+        gone = self.backups()
+        self._fs.delete(self._folder("backups"), True)
+        return gone
+
+    def forget_everything(self) -> list[str]:
+        """All content, and every copy of it; returns the exports, which belong to the user and stay."""
+        self.forget_all(reset_manifest=True)
+        self.purge()
+        return self.exports()
+
+    def exports(self) -> list[str]:
+        folder = self._folder("exports")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
+    def verify(self, name: str) -> DataFrame:
+        """(table, rows, repeated, ok) of a backup: whether each table is there, readable and keeps its key."""
+        found = None
+        for table, schema in TABLES.items():
+            there = self._fs.exists(self._folder("backups", name, table, "_SUCCESS"))
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/backups/{name}/{table}") if there else self.spark.createDataFrame([], schema)
+            counted = rows.groupBy(*KEYS[table]).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated"))
+            row = counted.select(F.lit(table).alias("table"), "rows", "repeated", (F.lit(there) & (F.col("repeated") == 0)).alias("ok"))
+            found = row if found is None else found.unionByName(row)
+        return found
+
+    def recover(self) -> str | None:
+        """Restores the newest backup that verifies; None if there is none."""
+        for name in reversed(self.backups()):
+            if not self.verify(name).where("not ok").head(1):
+                self.restore(name)
+                return name
+        return None
+
     def prune(self, keep: int = 2) -> None:
         """Old versions go, but for the newest ``keep`` of each table."""
         for table in TABLES:
@@ -171,6 +208,26 @@ def filed(session_folder: DataFrame, session_id: str, folder_id: str | None) ->
     return rest.unionByName(row)
 
 
+def renamed_folder(folders: DataFrame, folder_id: str, name: str) -> DataFrame:
+    own = F.col("id") == folder_id
+    return folders.withColumns({"name": F.when(own, folder_name(F.lit(name))).otherwise(F.col("name")), "updated_at": F.when(own, F.unix_millis(F.current_timestamp())).otherwise(F.col("updated_at"))})
+
+
+def without_folder(folders: DataFrame, session_folder: DataFrame, folder_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without a folder; its sessions lie in none."""
+    return folders.where(F.col("id") != folder_id), session_folder.where(F.col("folder_id") != folder_id)
+
+
+def with_setting(settings: DataFrame, key: str, value_json: str) -> DataFrame:
+    row = settings.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value_json).alias("value_json"), F.unix_millis(F.current_timestamp()).alias("updated_at"))
+    return replaced_by_key(settings, row, ["key"])
+
+
+def setting(settings: DataFrame, key: str) -> DataFrame:
+    """One row: the setting's value, null where it is missing."""
+    return settings.agg(F.max(F.when(F.col("key") == key, F.col("value_json"))).alias("value_json"))
+
+
 def setting_flag(settings: DataFrame, key: str, default: bool) -> DataFrame:
     """One row: the setting as a boolean, the default where it is missing or none."""
     value = F.max(F.when(F.col("key") == key, F.col("value_json").try_cast("boolean")))

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +71,10 @@ def ranked(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFra
     others = [c for c in docs.columns if c != text_col]
     if not phrases:
         return docs.select(*others, F.lit(0.0).alias("rank")).limit(0)
-    counted = docs.select(*others, tokens(F.col(text_col)).alias("_words"))
-    counted = counted.select(*others, F.size("_words").cast("long").alias("_length"), *(_occurrences("_words", p).alias(f"_tf{k}") for k, p in enumerate(phrases)))
+    # generators hold filters back: pushed below, they would cut the texts into tokens once more for each phrase
+    words = docs.select(*others, F.explode(F.array(tokens(F.col(text_col)))).alias("_words"))
+    facts = F.struct(F.size("_words").cast("long").alias("_length"), *(_occurrences("_words", p).alias(f"_tf{k}") for k, p in enumerate(phrases)))
+    counted = words.select(*others, F.inline(F.array(facts)))
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(phrases))))
     hits = counted
     for k in range(len(phrases)):
@@ -156,24 +161,63 @@ def search(documents: DataFrame, sessions: DataFrame, query: Query, sort: str =
     return Page(rows, search_cursor(rows[-1]["rank"], rows[-1]["started_at"], rows[-1]["did"]) if full else None)
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(did, term, places) of each distinct token of a document."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 64):
+            part = batch.slice(low, 64)
+            owners, terms, ends, flat = [], [], [0], []
+            for k, words in enumerate(part.column(1).to_pylist()):
+                places: dict[str, list[int]] = {}
+                for at, word in enumerate(words or ()):
+                    places.setdefault(word, []).append(at)
+                for word, found in places.items():
+                    owners.append(k)
+                    terms.append(word)
+                    flat += found
+                    ends.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int64())), pa.array(terms, pa.string()), lists], names=["did", "term", "places"])
+
+
 class Index:
     """Postings in tables: bucketed by term for reading, one row for each document's length."""
 
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, spread: int = 8):
+        """``buckets`` folders of terms, each written by up to ``spread`` tasks: more for a larger corpus."""
+        self.spark, self.path, self.BUCKETS, self.SPREAD = spark, path, buckets, spread
 
     def build(self, documents: DataFrame) -> Index:
         words = documents.select("did", tokens(F.col("text")).alias("words"))
         words.select("did", F.size("words").cast("long").alias("length")).write.mode("overwrite").parquet(f"{self.path}/lengths")
-        placed = words.select("did", F.posexplode("words").alias("at", "term"))
-        postings = placed.groupBy("term", "did").agg(F.sort_array(F.collect_list("at")).alias("places"))
+        did = words.schema["did"].dataType.simpleString()
+        # a document's tokens lie in one row, so its postings need no shuffle
+        postings = words.mapInArrow(_posted, f"did {did}, term string, places array<int>")
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int")
         # a frequent term's rows spread over tasks, sorted within each file for pruning by its statistics
-        postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("did"), F.lit(8))).sortWithinPartitions("term", "did").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("did"), F.lit(self.SPREAD))).sortWithinPartitions("bucket", "term", "did").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         return self
 
+    def add(self, documents: DataFrame) -> Index:
+        """Replaces the rows of these documents and adds new ones; others stay."""
+        older = Index(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.BUCKETS, self.SPREAD)
+        fresh = Index(self.spark, f"{older.path}-new", self.BUCKETS, self.SPREAD).build(documents)
+        for table in ("lengths", "postings"):
+            old, new = (self.spark.read.parquet(f"{x.path}/{table}") for x in (self, fresh))
+            kept = old.join(new.select("did").distinct(), "did", "left_anti").unionByName(new)
+            writer = kept.write.mode("overwrite")
+            (writer if table == "lengths" else writer.partitionBy("bucket")).parquet(f"{older.path}/{table}")
+        return older
+
+    def without(self, dids: DataFrame) -> Index:
+        """An index of the same documents but those (did)."""
+        left = Index(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.BUCKETS, self.SPREAD)
+        for table in ("lengths", "postings"):
+            kept = self.spark.read.parquet(f"{self.path}/{table}").join(dids, "did", "left_anti")
+            writer = kept.write.mode("overwrite")
+            (writer if table == "lengths" else writer.partitionBy("bucket")).parquet(f"{left.path}/{table}")
+        return left
+
     def ranked(self, terms: list[str]) -> DataFrame:
         """(did, rank) of the documents that hold every term."""
         phrases = [p for p in map(phrase_of, terms) if p]
@@ -201,7 +245,7 @@ class Index:
 
 def _shifted(places: str, following: str, by: int) -> Column:
     """Those places that have ``following`` ``by`` tokens later."""
-    return F.array_intersect(F.col(places), F.transform(following, lambda p: p - by))
+    return F.array_intersect(F.col(places), F.transform(following, lambda p: p - F.lit(by)))
 
 
 def idf(documents: int, holding: int) -> float:

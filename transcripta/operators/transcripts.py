@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bounded, det_id, diff_counts, epoch_ms, sanitized_path, sum_or_null, title_of
+from ..functions.exprs import bounded, det_id, diff_counts, epoch_ms, sanitized_path, stem_of, sum_or_null, title_of
+from .scratch import settled
 from .sequences import filled, first_there, island_bounds, islands, numbered, paired, saturating_sum
 
 # The records of both formats.
@@ -282,15 +283,27 @@ def vendor_b(lines: DataFrame) -> dict[str, DataFrame]:
 
 
 def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[str, DataFrame]:
-    """Archive tables with deterministic ids; sessions that break a key are in ``failures``."""
+    """Archive tables with deterministic ids; files that break a key are in ``failures``.
+
+    Files of one native session are one session: the last of them by path gives its
+    rows, all are in ``session_source``.
+    """
     every = notes[0]
     for more in notes[1:]:
         every = every.unionByName(more)
+    # lines are parsed for these once, not for each table that is made of them
+    every, messages, calls, outputs, events, heads, segments = (settled(rows, "parsed") for rows in (every, messages, calls, outputs, events, heads, segments))
     noted = every.groupBy(*KEY).agg(F.count("*").alias("n"), F.min_by("note", "line_no").alias("first"))
     noted = noted.select(*KEY, F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" parser note(s); first: "), "first")).alias("parse_note"))
-    natural = F.coalesce("native_session_id", "path")
-    heads = heads.withColumn("session_id", det_id("s", F.col("agent_id"), natural))
-    ids = heads.select(*KEY, "session_id")
+    repeated_calls = calls.groupBy(*KEY, "native_call_id").count().where("count > 1").select(*KEY)
+    repeated_uuids = messages.where("native_uuid is not null").groupBy(*KEY, "native_uuid").count().where("count > 1").select(*KEY)
+    failures = repeated_calls.unionByName(repeated_uuids).distinct().withColumn("reason", F.lit("a native id occurs twice"))
+    heads = heads.join(failures.select(*KEY), KEY, "left_anti").withColumn("dedupe_key", stem_of(F.col("path")))
+    heads = heads.withColumn("session_id", det_id("s", F.col("agent_id"), F.coalesce("native_session_id", "dedupe_key")))
+    ends = messages.groupBy(*KEY).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    sources = heads.select(*KEY, "session_id").join(ends, KEY, "left")
+    ids = settled(heads.groupBy("agent_id", "session_id").agg(F.max("path").alias("path")).select(*KEY, "session_id"), "parsed")
+    heads = heads.join(ids, [*KEY, "session_id"], "left_semi")
 
     def of_session(rows: DataFrame) -> DataFrame:
         return rows.join(ids, KEY)
@@ -327,25 +340,18 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
         return (F.coalesce(f"total_{c}", c) if f"total_{c}" in heads.columns else F.col(c)).alias(c)
 
     session = whole.select(
-        *KEY, F.col("session_id").alias("id"), "native_session_id", F.col("path").alias("dedupe_key"), F.coalesce("title", "asked").alias("title"), (F.col("title").isNull() & F.col("asked").isNotNull()).alias("title_is_synthetic"), "started_at", "ended_at",
+        *KEY, F.col("session_id").alias("id"), "native_session_id", "dedupe_key", F.coalesce("title", "asked").alias("title"), (F.col("title").isNull() & F.col("asked").isNotNull()).alias("title_is_synthetic"), "started_at", "ended_at",
         F.coalesce("message_count", F.lit(0)).alias("message_count"), F.coalesce("tool_call_count", F.lit(0)).alias("tool_call_count"), total("input_tokens"), total("output_tokens"), total("cache_tokens"), "primary_model", "agent_version",
         F.when(F.col("parse_note").isNotNull(), "partial").otherwise("ok").alias("parse_status"), "parse_note",
     )
-    repeated_calls = tool_call.groupBy(*KEY, "native_call_id").count().where("count > 1").select(*KEY)
-    repeated_uuids = message.where("native_uuid is not null").groupBy(*KEY, "native_uuid").count().where("count > 1").select(*KEY)
-    failures = repeated_calls.unionByName(repeated_uuids).distinct().withColumn("reason", F.lit("a native id occurs twice"))
-
-    def sound(rows: DataFrame) -> DataFrame:
-        return rows.join(failures.select(*KEY), KEY, "left_anti")
-
-    good = sound(ids).select("session_id")
     return {
-        "agent_session": sound(session).drop("path"),
-        "message": sound(message).drop(*KEY),
-        "message_part": part.join(good, "session_id", "left_semi"),
-        "tool_call": sound(tool_call).drop(*KEY, "call_seq"),
-        "file_event": file_event.join(good, "session_id", "left_semi"),
-        "session_segment": segment.join(good, "session_id", "left_semi"),
+        "agent_session": session.drop("path"),
+        "message": message.drop(*KEY),
+        "message_part": part,
+        "tool_call": tool_call.drop(*KEY, "call_seq"),
+        "file_event": file_event,
+        "session_segment": segment,
+        "session_source": sources,
         "failures": failures,
         "notes": every,
     }

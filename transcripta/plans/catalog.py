@@ -35,11 +35,15 @@ def _registered(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import transcripts  # registers its queries
+
+    return dict(transcripts.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from . import transcripts
+
+    return dict(transcripts.SQL)
 
 
 # Search. A document's number is its id, its agent its source; every tenth has no time.
@@ -173,10 +177,10 @@ def repository_summary(spark, sf_dir):
     return browse.repository_summary(nations, segments, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("repository_id")))
 
 
-@_registered("select r_regionkey id, r_name \"name\", r_regionkey \"position\", (select count(*) from nation where n_regionkey = r_regionkey) thread_count from region")
+@_registered("select c_custkey id, c_name \"name\", c_custkey \"position\", (select count(*) from orders where o_custkey = c_custkey) thread_count from customer")
 def folder_list(spark, sf_dir):
-    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("position"))
-    return browse.folder_list(regions, table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("folder_id")))
+    folders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("position"))
+    return browse.folder_list(folders, _orders(spark, sf_dir).select(F.col("o_custkey").alias("folder_id")))
 
 
 @_registered("select source agent_id, count(*) n from documents group by 1")
@@ -253,15 +257,18 @@ def debounce_bursts(spark, sf_dir):
 
 # Titles, ids, paths, JSON
 
-_ASKED = r"regexp_replace(case when contains(t, '## My request:') then regexp_extract(t, '(?s)^.*?## My request:(.*)$', 1) else t end, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_ASKED = r"regexp_replace(case when contains(t, '## My request:') then regexp_extract(t, '(?s)^.*?## My request:(.*)$', 1) else t end, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _BOOT = " or ".join(f"starts_with(a, '{x}')" for x in exprs.BOOTSTRAP)
 
 
-@_registered(rf"""with x as (select conv_id, turn, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') t from conversations where role = 'user'),
+_TITLED = rf"""with x as (select conv_id, turn, regexp_replace(text, '^[\s\p{{{{Z}}}}]+|[\s\p{{{{Z}}}}]+$', '', 'g') t from {{turns}} where role = 'user' and {{chosen}}),
 a as (select conv_id, turn, {_ASKED} a from x),
-l as (select conv_id, turn, list_filter(list_transform(string_split(a, chr(10)), lambda s: regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '^#+', ''), '^[-*]+', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda s: s <> '' and not (starts_with(s, '<') and ends_with(s, '>'))) ls from a where not ({_BOOT})),
-f as (select conv_id, turn, regexp_replace(ls[1], '[\s\p{{Z}}]+', ' ', 'g') f from l where len(ls) > 0)
-select conv_id, arg_min(case when length(f) <= 80 then f else rtrim(f[1:80]) || '…' end, turn) title from f group by 1""")
+l as (select conv_id, turn, list_filter(list_transform(string_split(a, chr(10)), lambda s: regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^[\s\p{{{{Z}}}}]+|[\s\p{{{{Z}}}}]+$', '', 'g'), '^#+', ''), '^[-*]+', ''), '^[\s\p{{{{Z}}}}]+|[\s\p{{{{Z}}}}]+$', '', 'g')), lambda s: s <> '' and not (starts_with(s, '<') and ends_with(s, '>'))) ls from a where not ({_BOOT})),
+f as (select conv_id, turn, regexp_replace(ls[1], '[\s\p{{{{Z}}}}]+', ' ', 'g') f from l where len(ls) > 0),
+titled as (select conv_id, arg_min(case when length(f) <= 80 then f else rtrim(f[1:80]) || '…' end, turn) title from f group by 1){{then}}"""
+
+
+@_registered(_TITLED.format(turns="conversations", chosen="true", then=" select * from titled"))
 def fallback_title(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", exprs.title_of(F.col("text")).alias("title"))
     return asked.groupBy("conv_id").agg(sequences.first_there("title", "turn").alias("title")).where("title is not null")
@@ -440,40 +447,35 @@ def epoch_ms(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", exprs.epoch_ms(text).alias("ms"))
 
 
-@_registered("""with n as (select *, case when n_nationkey % 3 = 0 then [] else [lower('host' || n_regionkey || '.example/' || n_name)] end remotes from nation),
-k as (select *, case when len(remotes) > 0 and n_nationkey % 2 = 0 then 'rr' when len(remotes) > 0 then 'r' else 'gcd' end kind from n)
-select n_nationkey, kind, case when kind = 'r' then 'medium' else 'high' end identity_confidence, case when len(remotes) > 0 then lower(n_name) else n_name end display_name from k""")
-def repository_identity(spark, sf_dir):
-    remote = F.concat(F.lit("https://user:key@HOST"), F.col("n_regionkey").cast("string"), F.lit(".example:443/"), F.lower("n_name"), F.lit(".git"))
-    facts = table(spark, sf_dir, "nation").select(
-        "n_nationkey",
-        F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(remote, remote)).alias("remotes"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.md5("n_name"))).otherwise(F.array().cast("array<string>")).alias("roots"),
+def _repositories(spark, sf_dir):
+    """Customers as repositories: a remote for two of three, roots for every second."""
+    remote = F.concat(F.lit("https://user:key@HOST"), F.col("c_nationkey").cast("string"), F.lit(".example:443/"), F.lower("c_name"), F.lit(".git"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(remote, remote)).alias("remotes"),
+        F.when(F.col("c_custkey") % 2 == 0, F.array(F.md5("c_name"))).otherwise(F.array().cast("array<string>")).alias("roots"),
         F.lit(False).alias("truncated"),
-        F.concat(F.lit("/repos/"), "n_name", F.lit("/.git")).alias("common_dir"),
-        F.concat(F.lit("/repos/"), "n_name").alias("workdir"),
+        F.concat(F.lit("/repos/"), "c_name", F.lit("/.git")).alias("common_dir"),
+        F.concat(F.lit("/repos/"), "c_name").alias("workdir"),
     )
-    known = git_facts.identified(facts)
-    return known.select("n_nationkey", F.substring_index("identity_key", ":", 1).alias("kind"), "identity_confidence", "display_name")
 
 
-@_registered("""select 'remote' kind, 'medium' confidence, count(distinct n_regionkey || n_name) n from nation where n_nationkey % 3 <> 0
-union all select 'git_common_dir', 'high', count(*) from nation union all select 'root_set', 'low', count(*) from nation where n_nationkey % 2 = 0""")
+@_registered("""select c_custkey, case when c_custkey % 3 = 0 then 'gcd' when c_custkey % 2 = 0 then 'rr' else 'r' end kind, case when c_custkey % 3 <> 0 and c_custkey % 2 = 1 then 'medium' else 'high' end identity_confidence,
+  case when c_custkey % 3 = 0 then c_name else lower(c_name) end display_name from customer""")
+def repository_identity(spark, sf_dir):
+    known = git_facts.identified(_repositories(spark, sf_dir))
+    return known.select("c_custkey", F.substring_index("identity_key", ":", 1).alias("kind"), "identity_confidence", "display_name")
+
+
+@_registered("""select 'remote' kind, 'medium' confidence, count(*) n from customer where c_custkey % 3 <> 0
+union all select 'git_common_dir', 'high', count(*) from customer union all select 'root_set', 'low', count(*) from customer where c_custkey % 2 = 0""")
 def identity_evidence(spark, sf_dir):
-    remote = F.concat(F.col("n_regionkey").cast("string"), F.lit(".example/"), "n_name")
-    facts = table(spark, sf_dir, "nation").select(
-        F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(remote)).alias("remotes"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.md5("n_name"))).otherwise(F.array().cast("array<string>")).alias("roots"),
-        F.lit(False).alias("truncated"),
-        F.concat(F.lit("/repos/"), "n_name", F.lit("/.git")).alias("common_dir"),
-        F.concat(F.lit("/repos/"), "n_name").alias("workdir"),
-    )
-    return git_facts.evidence(git_facts.identified(facts)).groupBy("kind", "confidence").agg(F.count("*").alias("n"))
+    return git_facts.evidence(git_facts.identified(_repositories(spark, sf_dir))).groupBy("kind", "confidence").agg(F.count("*").alias("n"))
 
 
-@_registered("select coalesce(max(r_regionkey), -1) + 1 \"position\" from region")
+@_registered("select coalesce(max(o_custkey), -1) + 1 \"position\" from orders")
 def next_folder_position(spark, sf_dir):
-    return lifecycle.next_position(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("position")))
+    return lifecycle.next_position(_orders(spark, sf_dir).select(F.col("o_custkey").alias("position")))
 
 
 @_registered(r"""with x as (select part.*, regexp_replace(p_name || '  ' || chr(8203) || p_type, '[\s\p{Z}\p{Cc}' || chr(8203) || ']+', ' ', 'g') s from part) select p_partkey, trim(trim(s)[1:100]) "name" from x""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import det_id
+from ..functions.exprs import det_id, stem_of
 
 MOST_BYTES = 64 << 20
 VENDORS = {"claude-code": "*.jsonl", "codex": "rollout-*.jsonl"}
@@ -24,6 +24,23 @@ def default_roots(environment: dict[str, str] | None = None) -> dict[str, list[s
     return {"claude-code": [f"{first}/projects"], "codex": [f"{home}/.codex/sessions", f"{home}/.codex/archived_sessions"]}
 
 
+def without_root(roots: list[str], path: str) -> list[str]:
+    """``roots`` without one of them."""
+    return [r for r in roots if r != path.rstrip("/")]
+
+
+def discovery(spark: SparkSession, roots: dict[str, list[str]] | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """All agents' files below their default and own roots, but for the disabled agents; roots that aren't there have none."""
+    found = None
+    for agent, places in default_roots().items():
+        for place in [] if agent in disabled else sorted({*places, *(roots or {}).get(agent, [])}):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+            if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+                files = discovered(spark, agent, [place])
+                found = files if found is None else found.unionByName(files)
+    return spark.createDataFrame([], "agent_id string, path string, modificationTime timestamp, length bigint, content binary") if found is None else found.dropDuplicates(["agent_id", "path"])
+
+
 def with_root(roots: list[str], path: str) -> list[str]:
     """``roots`` and one more: absolute, each once, at most MOST_ROOTS."""
     if not path.startswith("/") and "://" not in path:
@@ -60,17 +77,17 @@ def lines(files: DataFrame) -> DataFrame:
     left to ``oversized``.
     """
     texts = files.where(F.col("length") <= MOST_BYTES).select("agent_id", "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
-    pieces = texts.select("agent_id", "path", F.split("text", "\n", -1).alias("pieces"))
-    # running offsets inside the file's own array: no shuffle brings lines together
-    ends = F.expr("aggregate(pieces, array(0L), (done, x) -> array_append(done, element_at(done, -1) + octet_length(x) + 1))")
-    placed = pieces.select("agent_id", "path", F.posexplode(F.arrays_zip("pieces", F.slice(ends, 1, F.size("pieces")).alias("offsets"))).alias("line_no", "line"))
-    return placed.select("agent_id", "path", F.col("line_no").cast("long").alias("line_no"), F.col("line.offsets").alias("byte_offset"), F.regexp_replace("line.pieces", r"^\s+|\s+$", "").alias("raw")).where("raw <> ''")
+    placed = texts.select("agent_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "piece"))
+    size = F.octet_length("piece").cast("long") + 1
+    in_file = Window.partitionBy("agent_id", "path").orderBy("line_no")
+    placed = placed.withColumn("byte_offset", F.sum(size).over(in_file.rowsBetween(Window.unboundedPreceding, 0)) - size)
+    return placed.select("agent_id", "path", F.col("line_no").cast("long").alias("line_no"), "byte_offset", F.regexp_replace("piece", r"^\s+|\s+$", "").alias("raw")).where("raw <> ''")
 
 
 def oversized(files: DataFrame) -> DataFrame:
     """A shell of a session for each file that is too large to parse."""
     large = files.where(F.col("length") > MOST_BYTES)
-    return large.select(det_id("s", F.col("agent_id"), F.col("path")).alias("id"), "agent_id", F.col("path").alias("dedupe_key"), F.lit("partial").alias("parse_status"), F.lit("source exceeds the size limit").alias("parse_note"), F.lit(0).cast("long").alias("message_count"), F.lit(0).cast("long").alias("tool_call_count"))
+    return large.select(det_id("s", F.col("agent_id"), stem_of(F.col("path"))).alias("id"), "agent_id", stem_of(F.col("path")).alias("dedupe_key"), F.lit("partial").alias("parse_status"), F.lit("source exceeds the size limit").alias("parse_note"), F.lit(0).cast("long").alias("message_count"), F.lit(0).cast("long").alias("tool_call_count"))
 
 
 def synthetic(spark: SparkSession, sessions: int, turns: int, seed: int = 1) -> DataFrame:
