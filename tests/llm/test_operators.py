@@ -326,7 +326,7 @@ def test_lines_that_share_a_band_are_linked_as_by_brute_force(spark):
         chain = f"{chain[4:]}{''.join(rng.choice('abcdefghijklmnop') for _ in range(4))}"
         lines.append(chain)
     texts = spark.createDataFrame(list(enumerate(lines)), "lh long, line string")
-    got = {r.node: r.component for r in components(line_dedup._linked(texts.selectExpr("lh", "1L as key"), texts, 80)).collect()}
+    got = {r.node: r.component for r in line_dedup._linked(texts.selectExpr("lh", "1L as key"), texts.selectExpr("lh", "array(0L) sw", "array(0L) sc"), lambda wanted: texts, 80).collect()}
     grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
     parent = list(range(len(lines)))
 

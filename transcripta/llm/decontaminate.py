@@ -11,9 +11,12 @@ occur in items.  Pairs are tested in numpy for all words of a block first, and
 only runs long enough are streamed through the automaton: no match is lost, and
 text without item passages costs no Python step per word.
 
-Items go to the executors in blocks of at most ``MOST_WORDS`` words, each a step
-of its own over the same rows, so a large benchmark needs no large broadcast and
-no shuffle.
+Items go to the executors in blocks of about ``MOST_WORDS`` words, an automaton
+each; a longer item is cut into pieces that overlap by all but one word of a window.
+``TOGETHER`` blocks are one pass of one Python process for each task; a benchmark
+of more makes further passes, each settled in the shared folder, so neither what is
+sent, nor a task's memory, nor its processes grow with the benchmark.  No row is
+shuffled.
 
 Null and empty texts have no words, no hits and are kept as they are; null and
 wordless items are no windows; items with a null id are left out; items that
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,11 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import settled, tidy
 from .wordhash import _BASE, ALNUM, Words, blocks, mixed, scanned
 
 WINDOW = 10
 #: Item words in one automaton: about 60 MB in a Python worker.
 MOST_WORDS = 50_000
+#: Automata that a pass holds at a time.
+TOGETHER = 4
 _PAIR_BITS = 22
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -172,46 +179,54 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[str, list[Automaton]] = {}
 
 
-def _automaton(sent, window: int) -> Automaton:
-    """One automaton for each broadcast and worker."""
-    key = sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") and sent._jbroadcast else id(sent.value)
-    if key not in _built:
+def _automata(sent, window: int) -> list[Automaton]:
+    """The automata of a broadcast, built once for each worker."""
+    name, held = sent.value
+    if name not in _built:
         _built.clear()
-        items = []
-        for item, words in sent.value:
-            text = " ".join(words).encode()
-            found = scanned(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), ALNUM)
-            items.append((item, found.hashes.tolist()))
-        _built[key] = Automaton(items, window)
-    return _built[key]
+        made = []
+        for block in held:
+            items = []
+            for item, words in block:
+                text = " ".join(words).encode()
+                found = scanned(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), ALNUM)
+                items.append((item, found.hashes.tolist()))
+            made.append(Automaton(items, window))
+        _built[name] = made
+    return _built[name]
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
 def _marked(batches: Iterator[pa.RecordBatch], sent, window: int) -> Iterator[pa.RecordBatch]:
-    """Adds the hit spans (in bytes) and items of one block to each row's lists."""
-    automaton = _automaton(sent, window)
+    """Adds the hit spans (in bytes) and items of some blocks to each row's lists."""
+    automata = _automata(sent, window)
     for batch in batches:
         names = batch.schema.names
         spans, items, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
         for low, high, words in blocks(batch.column(0), ALNUM):
-            hit, found = automaton.hits(words)
             counts.append(words.counts())
-            for d in found:
-                a, b = int(words.first[d]), int(words.first[d + 1])
-                base = int(words.start[a]) if a < b else 0
-                starts, ends = _runs(hit[a:b])
-                spans[low + d] = (spans[low + d] or []) + [{"begin": int(words.start[a + s]) - base, "end": int(words.end[a + e - 1]) - base} for s, e in zip(starts, ends, strict=True)]
-                items[low + d] = sorted({*(items[low + d] or []), *found[d]})
+            for automaton in automata:
+                hit, found = automaton.hits(words)
+                for d in found:
+                    a, b = int(words.first[d]), int(words.first[d + 1])
+                    base = int(words.start[a]) if a < b else 0
+                    starts, ends = _runs(hit[a:b])
+                    spans[low + d] = (spans[low + d] or []) + [{"begin": int(words.start[a + s]) - base, "end": int(words.end[a + e - 1]) - base} for s, e in zip(starts, ends, strict=True)]
+                    items[low + d] = sorted({*(items[low + d] or []), *found[d]})
         total = np.concatenate([*counts, np.zeros(0, dtype=np.int64)])
         columns = [batch.column(0), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(total, pa.int64()), *batch.columns[4:]]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _marked_and_reported(batches: Iterator[pa.RecordBatch], sent, window: int) -> Iterator[pa.RecordBatch]:
+    return _reported(_marked(batches, sent, window))
+
+
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """The spans in order; those of several blocks may meet, only touching bytes join."""
     out: list[list[int]] = []
@@ -247,18 +262,30 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["n_words", "n_hit", "n_items", "items_sha256", "cleaned", *batch.schema.names[4:]])
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[str]]]]:
-    held, words = [], 0
+def _pieces(words: list[str], window: int) -> Iterator[list[str]]:
+    """An item's words; those of a long one in pieces that hold all of its windows."""
+    step = MOST_WORDS - window + 1
+    for low in range(0, max(1, len(words) - window + 1), step):
+        yield words[low : low + MOST_WORDS]
+
+
+def _item_groups(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list[list[tuple[str, list[str]]]]]:
+    """``TOGETHER`` blocks of items at a time; no more of them come to the driver at once."""
+    group, held, words = [], [], 0
     for row in items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).toLocalIterator():
         found = item_words(row.text)
         if row.item is None or not found:
             continue
-        held.append((row.item, found))
-        words += len(found)
-        if words >= MOST_WORDS:
-            yield held
-            held, words = [], 0
-    yield held
+        for piece in _pieces(found, window):
+            held.append((row.item, piece))
+            words += len(piece)
+            if words >= MOST_WORDS:
+                group.append(held)
+                held, words = [], 0
+                if len(group) == TOGETHER:
+                    yield group
+                    group = []
+    yield [*group, held]
 
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
@@ -273,12 +300,18 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     kept = [docs[c].alias(f"kept_{k}") for k, c in enumerate(keep)]
     rows = docs.select(docs[text_col].alias("text"), F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), *kept)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    for block in _item_blocks(items, item_id_col, item_text_col):
-        rows = rows.mapInArrow(partial(_marked, sent=spark.sparkContext.broadcast(block), window=window), schema)
+    groups = _item_groups(items, item_id_col, item_text_col, window)
+    group = next(groups)
+    for following in groups:
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, group))
+        rows = settled(rows.mapInArrow(partial(tidy, _marked, sent=sent, window=window), schema), "marked")
+        sent.destroy()
+        group = following
     out = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("cleaned", "string")
     for field in schema.fields[4:]:
         out = out.add(field)
-    rows = rows.mapInArrow(_reported, out)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, group))
+    rows = rows.mapInArrow(partial(tidy, _marked_and_reported, sent=sent, window=window), out)
     return rows.select("n_words", "n_hit", "n_items", "items_sha256", "cleaned", *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)))
 
 

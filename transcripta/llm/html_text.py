@@ -22,18 +22,23 @@ a page is read whole, in time linear in its length.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|math|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^<>]*>",
@@ -108,38 +113,82 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+@dataclass(frozen=True)
+class _Open:
+    """An open element, and what holds for all that is inside it."""
+
+    name: str
+    furniture: bool = False
+    article: bool = False
+    framed: bool = False  # inside an element that is furniture by its name
+    links: int = 0
+    listings: int = 0
+    block: int = -1  # where the innermost block that is no paragraph stands
+
+
+class _Stack:
+    """Open elements; every step costs as much as it opens and closes, however deep they nest."""
+
+    def __init__(self) -> None:
+        self.items: list[_Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def top(self) -> _Open:
+        return self.items[-1] if self.items else _Open("")
+
+    def push(self, item: _Open) -> None:
+        self.places[item.name].append(len(self.items))
+        self.items.append(item)
+
+    def cut(self, low: int) -> None:
+        while len(self.items) > low:
+            self.places[self.items.pop().name].pop()
+
+    def end(self, name: str) -> None:
+        """A stray end tag closes nothing; others close what is open inside, but no block closes with an inline element."""
+        places = self.places.get(name)
+        if not places:
+            return
+        paragraphs = self.places.get("p") or [-1]
+        if name in _BLOCKS or places[-1] > max(self.top().block, paragraphs[-1]):
+            self.cut(places[-1])
+
+    def begin(self, name: str) -> None:
+        """What ends where this element begins: its siblings, and paragraphs with the inline elements left open in them."""
+        top = self.top()
+        if name in _CLOSES_P and top.name == "p" or top.name in _SIBLINGS.get(name, ()):
+            self.cut(len(self.items) - 1)
+        elif name in _CLOSES_P and (places := self.places.get("p")):
+            k = bisect.bisect_right(places, top.block)
+            if k < len(places):
+                self.cut(places[k])
+
+
 def page_blocks(page: str) -> list[Block]:
     """The blocks outside furniture, in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    stack = _Stack()
     parts: list[str] = []
-    linked = links = listings = 0
-    furniture = article = False
+    linked = 0
 
     def ended() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, min(linked, len(text)), article, listings > 0))
+                blocks.append(Block(text, min(linked, len(text)), stack.top().article, stack.top().listings > 0))
             parts.clear()
         linked = 0
 
     def told(raw: str) -> None:
         nonlocal linked
-        if raw and not furniture:
+        top = stack.top()
+        if raw and not top.furniture:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if top.links:
                 linked += len(text.strip())
 
-    def context() -> None:
-        nonlocal furniture, article, links, listings
-        furniture = bool(stack) and stack[-1][1]
-        article = bool(stack) and stack[-1][2]
-        links = sum(name == "a" for name, _, _ in stack)
-        listings = sum(name in _LISTINGS for name, _, _ in stack)
-
     last = 0
     for m in _TAG.finditer(page):
         if m.start() > last:
@@ -149,39 +198,26 @@ def page_blocks(page: str) -> list[Block]:
             continue
         name = m["name"].lower()
         if name == "br":
-            if not furniture:
+            if not stack.top().furniture:
                 parts.append(" ")
             continue
         if name in _BLOCKS:
             ended()
         if m["close"]:
-            # a stray end tag closes nothing; others close what is open inside
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    context()
-                    break
-                if stack[k][0] in _BLOCKS and name not in _BLOCKS:
-                    break
+            stack.end(name)
             continue
         if name in _VOID:
             continue
-        if stack and (name in _CLOSES_P and stack[-1][0] == "p" or stack[-1][0] in _SIBLINGS.get(name, ())):
-            stack.pop()
-            context()
-        elif name in _CLOSES_P and any(s[0] == "p" for s in stack) and all(s[0] not in _BLOCKS or s[0] == "p" for s in stack[next(k for k, s in enumerate(stack) if s[0] == "p") :]):
-            # inline elements left open inside a paragraph end with it
-            del stack[next(k for k, s in enumerate(stack) if s[0] == "p") :]
-            context()
-        own = name in _FURNITURE or name == "header" and not article or name not in _UNMARKED and bool(m["attributes"].strip()) and _marked(m["attributes"])
+        stack.begin(name)
+        top = stack.top()
+        frame = name in _FURNITURE or name == "header"
+        own = name in _FURNITURE or name == "header" and not top.article or name not in _UNMARKED and bool(m["attributes"].strip()) and _marked(m["attributes"])
         if m["attributes"].rstrip().endswith("/") and name not in _BLOCKS:
             continue
         # a mark on a wrapper of the main element is none
-        lifted = name == "main" and not any(n in _FURNITURE or n == "header" for n, _, _ in stack)
-        stack.append((name, furniture and not lifted or own, (article or name in _ARTICLE) and not own))
-        furniture, article = stack[-1][1], stack[-1][2]
-        links += name == "a"
-        listings += name in _LISTINGS
+        lifted = name == "main" and not top.framed
+        block = len(stack.items) if name in _BLOCKS and name != "p" else top.block
+        stack.push(_Open(name, top.furniture and not lifted or own, (top.article or name in _ARTICLE) and not own, top.framed or frame, top.links + (name == "a"), top.listings + (name in _LISTINGS), block))
     told(page[last:])
     ended()
     return blocks
@@ -243,6 +279,9 @@ def chosen(blocks: list[Block]) -> list[bool]:
     covered = stop_words_tell(blocks)
     labels = [first_pass(b, covered) for b in blocks]
     if not any(b.article for b in blocks):
+        if set(labels) == {SHORTISH}:
+            # nothing to go by: what isn't linked stays
+            return [b.linked == 0 for b in blocks]
         return second_pass(labels)
     found = {b.article for b, label in zip(blocks, labels, strict=True) if label == GOOD}
     inside = sum(len(b.text) - b.linked for b in blocks if b.article)
@@ -278,4 +317,4 @@ def extracted(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] =
     """The columns ``keep`` of each page, then its text and n_chars (code points)."""
     rows = pages.select(pages[html_col].alias("html"), *(pages[c].alias(f"kept_{k}") for k, c in enumerate(keep)))
     schema = "text string, n_chars long" + "".join(f", kept_{k} {rows.schema[f'kept_{k}'].dataType.simpleString()}" for k in range(len(keep)))
-    return rows.mapInArrow(_extracted, schema).select(*(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)), "text", "n_chars")
+    return rows.mapInArrow(partial(tidy, _extracted), schema).select(*(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)), "text", "n_chars")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, bitmap_holds, components, settled
+from .shared import bitmap, bitmap_holds, components, settled, tidy
 from .wordhash import ALNUM, SPACED, blocks, distinct, mixed, shingles
 
 #: At most so many n-grams are kept as frequent (16 MB with their ranks); with
@@ -178,7 +178,7 @@ class _Join:
     def __init__(self, texts: DataFrame, n: int, percent: int, words: str):
         self.texts, self.n, self.percent, self.words = texts, n, percent, words
         self.spark = texts.sparkSession
-        scanned = settled(texts.mapInArrow(partial(_classes, words=words, n=n), CLASS_SCHEMA), "classes")
+        scanned = settled(texts.mapInArrow(partial(tidy, _classes, words=words, n=n), CLASS_SCHEMA), "classes")
         self.members = scanned.where("cls is not null").select("doc_id", "n", "cls")
         often = scanned.where("gram is not null").groupBy("gram").agg(F.least(F.sum("seen"), F.lit(MOST_SEEN)).alias("seen"))
         often = settled(often, "often")
@@ -201,7 +201,7 @@ class _Join:
         ends = settled(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
         stand = self.members.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
         sent = self.spark.sparkContext.broadcast((*self.frequent, bitmap(ends, "cls"), bitmap(stand, "doc_id")))
-        segments = settled(self.texts.mapInArrow(partial(_segments, words=self.words, n=self.n, sent=sent), "cls long, fragment int, grams array<long>"), "segments")
+        segments = settled(self.texts.mapInArrow(partial(tidy, _segments, words=self.words, n=self.n, sent=sent), "cls long, fragment int, grams array<long>"), "segments")
         one = segments.select(F.col("cls").alias("a"), "fragment", F.col("grams").alias("ga"))
         two = segments.select(F.col("cls").alias("b"), "fragment", F.col("grams").alias("gb"))
         counted = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("common"))
@@ -212,7 +212,7 @@ class _Join:
 
     def _heads(self, grams: DataFrame | None = None) -> DataFrame:
         sent = self.spark.sparkContext.broadcast((*self.frequent, None if grams is None else bitmap(grams, "gram")))
-        return self.texts.mapInArrow(partial(_heads, words=self.words, n=self.n, percent=self.percent, sent=sent), "gram long, cls long, n long, pos long")
+        return self.texts.mapInArrow(partial(tidy, _heads, words=self.words, n=self.n, percent=self.percent, sent=sent), "gram long, cls long, n long, pos long")
 
     def links(self) -> DataFrame:
         """Edges (a, b) between classes, whose components are those of all similar pairs."""
@@ -264,6 +264,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = join.members.join(labels, "cls", "left")
     label = F.when(F.col("n") > 0, F.coalesce("component", "cls"))
     members = members.select("doc_id", "n", label.alias("label"))
-    lowest = members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("lowest"))
+    # settled, so that a label of very many documents can be split in the join
+    lowest = settled(members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("lowest")), "lowest")
     out = members.join(lowest, "label", "left").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("lowest", "doc_id")).alias("component_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id")

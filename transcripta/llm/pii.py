@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose, checksums confirm, context decides.
 
-Proposals: e-mail, IPv4, payment card, phone (the base kinds), IBAN and social
-security number (the method's own).  Cards must pass Luhn, IBANs mod 97; the
+Proposals: e-mail, IPv4, payment card, phone (the base kinds), IBAN, social
+security number and secret (the method's own: a run of 20 characters or more with
+letters and digits, which counts only near words such as token or password).  Cards must pass Luhn, IBANs mod 97; the
 confirmed ones start at a high score.  Kinds without a checksum start lower and
 are raised or lowered by words near the span.  Base spans are always kept, with
 their score; own spans only with a score of ``least_score`` or more, and not
@@ -14,27 +15,44 @@ from anchors that make it linear in the text's length.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9@])")
 _DIGITS = re.compile(r"[0-9]")
 _ONLY_DIGITS = re.compile(r"[^0-9]+")
 
+# Characters of an IBAN by country, as the registry has them.
+_IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        ("15", "NO"), ("16", "BE"), ("18", "DK FI FO GL NL SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU XK"), ("21", "CH HR LI LV"), ("22", "BG BH CR DE GB GE IE ME RS VA"),
+        ("23", "AE GI IL IQ TL"), ("24", "AD CZ ES MD PK RO SA SE SK TN VG"), ("25", "LY PT ST"), ("26", "IS TR"), ("27", "FR GR IT MC MR SM"),
+        ("28", "AL AZ BY CY DO GT HU LB PL"), ("29", "BR EG PS QA UA"), ("30", "JO KW MU"), ("31", "MT SC"), ("32", "LC"),
+    )
+    for country in countries.split()
+}
+_IBAN_RESTS = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in {*_IBAN_LENGTHS.values()}}
+
 #: Characters on either side in which context words count.
 CONTEXT = 40
 _HINTS = {
@@ -44,10 +62,11 @@ _HINTS = {
     "phone": re.compile(r"phone|call|tel|mobile|fax|anruf", re.I),
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta", re.I),
     "ssn": re.compile(r"ssn|social|security", re.I),
+    "secret": re.compile(r"secret|token|passw|api.?key|credential|auth|private.?key", re.I),
 }
 _AGAINST = re.compile(r"version|isbn|order no|invoice no|part no|example", re.I)
 #: Score of a proposal that its checksum, if it has one, has confirmed.
-_START = {"email": 0.8, "ip": 0.5, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+_START = {"email": 0.8, "ip": 0.5, "card": 0.9, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "secret": 0.35}
 
 
 def luhn(digits: str) -> bool:
@@ -98,10 +117,12 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def own_spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", *m.span()
+        # a country's IBANs have one length, so words after them don't belong to them
+        rest = m[1] in _IBAN_LENGTHS and _IBAN_RESTS[_IBAN_LENGTHS[m[1]]].match(text, m.end())
+        if rest and mod97(f"{m[0]}{rest[0]}".replace(" ", "")):
+            yield "iban", m.start(), rest.end()
     yield from (("ssn", *m.span()) for m in _SSN.finditer(text))
+    yield from (("secret", *m.span()) for m in _SECRET.finditer(text))
 
 
 def score(text: str, kind: str, begin: int, end: int) -> float:
@@ -119,8 +140,10 @@ def spans(text: str, least_score: float) -> tuple[list[tuple[str, int, int]], li
     base = sorted(base_spans(text), key=_order)
     found = [(*s, score(text, *s)) for s in base]
     if _DIGITS.search(text):
+        taken = sorted((a, b) for _, a, b in base)
+        starts, furthest = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
         for s in own_spans(text):
-            if not any(a < s[2] and s[1] < b for _, a, b in base) and (value := score(text, *s)) >= least_score:
+            if furthest[bisect.bisect_left(starts, s[2])] <= s[1] and (value := score(text, *s)) >= least_score:
                 found.append((*s, value))
     return base, sorted(found, key=_order)
 
@@ -151,7 +174,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = rows.schema["id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
     schema = f"id {id_type}, {counts}, base_sha256 string, found array<struct<kind:string,begin:bigint,end:bigint,score:double>>"
-    return rows.mapInArrow(partial(_scanned, least_score=least_score), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(partial(tidy, _scanned, least_score=least_score), schema).withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", least_score: float = 0.6) -> DataFrame:
@@ -176,6 +199,7 @@ def redacted(docs: DataFrame, text_col: str = "text", least_score: float = 0.6)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The report with ``spans`` as one string instead of ``found``."""
+    """The report with ``spans``, their ``scores`` and ``n_spans`` instead of ``found``."""
     joined = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select(id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", joined.alias("spans"))
+    scores = F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select(id_col, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", joined.alias("spans"), scores.alias("scores"), F.size("found").cast("long").alias("n_spans"))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .wordhash import ALNUM, Words, blocks
 
 BUCKETS = 4096
@@ -210,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), docs[length_col].cast("double").alias("recorded"))
     rows = rows.join(F.broadcast(known), "id").select("id", "label", "text", "recorded")
     # several rows may share a labelled id: the same bound holds for rows
-    table = rows.mapInArrow(_featured, "id long, label int, buckets array<int>, vals array<double>, statistics array<double>").orderBy(F.xxhash64("id"), "id", F.hash("buckets", "vals")).limit(MOST_LABELLED).toArrow()
+    table = rows.mapInArrow(partial(tidy, _featured), "id long, label int, buckets array<int>, vals array<double>, statistics array<double>").orderBy(F.xxhash64("id"), "id", F.hash("buckets", "vals")).limit(MOST_LABELLED).toArrow()
     statistics = np.array(table["statistics"].to_pylist()).reshape(-1, STATISTICS)
     return fitted(table["label"].to_numpy().astype(np.float64), table["buckets"].to_pylist(), table["vals"].to_pylist(), statistics)
 
@@ -230,4 +231,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", length_col: st
     rows = docs.select(docs[text_col].alias("text"), docs[length_col].cast("double").alias("recorded"), *(docs[c].alias(f"kept_{k}") for k, c in enumerate(keep)))
     schema = "score double" + "".join(f", kept_{k} {rows.schema[f'kept_{k}'].dataType.simpleString()}" for k in range(len(keep)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(partial(_scored, sent=sent), schema).select("score", *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)))
+    return rows.mapInArrow(partial(tidy, _scored, sent=sent), schema).select("score", *(F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)))

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import checkpoint_root, settled
+
+__all__ = ["bitmap", "bitmap_holds", "checkpoint_root", "components", "settled", "tidy"]
+
 #: Positions of a bitmap(): 8 MB, however many keys it holds.
 BITMAP_POSITIONS = 1 << 26
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only in local mode, where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='transcripta-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: no lineage, no loss with an executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidy(step: Callable[..., Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+    """``step`` over the batches of a partition; then the worker, which may idle for long, gives freed memory back."""
+    yield from step(batches, **options)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def bitmap(keys: DataFrame, column: str) -> bytes:

@@ -8,19 +8,24 @@ length (only the bucket's prefix of long enough vectors is multiplied); high
 ones prune by coordinates (products over the query's largest coordinates plus a
 bound from the remaining lengths).  What is left is verified by exact products.
 
-Queries go to the tasks in blocks of ``QUERY_BLOCK``, each block a pass of its
-own, so what is sent has a fixed bound; a task returns k rows for each query, and
-the k best over all tasks are merged with one window.
+Queries go to the tasks in blocks of at most ``QUERY_BLOCK`` rows and ``QUERY_BYTES``,
+each block a pass of its own whose results are settled, so what is sent, what the
+driver holds and the plan have a fixed bound.  A task returns k rows for each query
+and group of vectors, and the k best are merged with one window.  A task's vectors
+are ordered in groups of at most ``LOADED_BYTES``.
 
 Components become floor(scale * x) as integers.  Vectors that are null or hold
 null or non-finite components take no part, nor do rows with a null id.  Vectors
 of different lengths have no product and are no candidates for each other.
 Repeated rows are candidates of their own and one query; queries that share an id
-share one ranking; a query's own id is never its candidate.  Ties go to the smaller id.  An empty table gives no rows.
+share one ranking; a query's own id is never its candidate.  Scores are compared as
+64-bit integers; vectors whose products could pass them raise an error.  Ties go to
+the smaller id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -29,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+from .shared import checkpoint_root, tidy
+
+QUERY_BLOCK = 16_384
+QUERY_BYTES = 16 << 20
 BUCKET = 1024
-#: Vectors that a task orders by length at a time.
-LOADED = 1 << 16
+#: Bytes of vectors, as doubles, that a task orders by length at a time.
+LOADED_BYTES = 32 << 20
 #: From this local cosine threshold on, coordinates prune better than lengths.
 STEEP = 0.4
 #: Of the query's coordinates, so many are multiplied first.
@@ -42,7 +50,7 @@ _OUT = "query_id long, vec_id long, score long"
 
 
 def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer vectors) of equal length, in groups of at most LOADED."""
+    """(ids, integer vectors) of equal length, in groups of about LOADED_BYTES."""
     held: dict[int, list] = {}
     for batch in batches:
         vectors = batch.column(1)
@@ -57,7 +65,7 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             own[0].append(ids[of])
             own[1].append(rows)
             own[2] += len(of)
-            if own[2] >= LOADED:
+            if own[2] * max(1, size) * 8 >= LOADED_BYTES:
                 yield np.concatenate(own[0]), np.concatenate(own[1])
                 del held[size]
     for ids, rows, _ in held.values():
@@ -66,7 +74,7 @@ def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 def _exact(rows: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
     """Integer products; doubles hold them exactly while they stay below 2**53."""
-    return (rows @ query) if exact else (rows.astype(np.int64) @ query.astype(np.int64))
+    return (rows @ query).astype(np.int64) if exact else rows.astype(np.int64) @ query.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +85,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def _retrieved(ids, rows, norms, query_id, query, k, exact):
     """The k best of one loaded group for one query."""
     own = float(np.sqrt(query @ query))
-    scores, found = np.zeros(0), np.zeros(0, dtype=np.int64)
+    scores, found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     least = -np.inf
     focus = np.argsort(-np.abs(query), kind="stable")[:FOCUS]
     rest = float(np.sqrt(max(0.0, query @ query - query[focus] @ query[focus])))
@@ -118,20 +126,24 @@ def _searched(batches: Iterator[pa.RecordBatch], sent, k: int, scale: int) -> It
         for query_id, vector in queries:
             if len(vector) == rows.shape[1]:
                 query = np.floor(np.asarray(vector, dtype=np.float64) * scale)
-                exact = float(np.sqrt(query @ query)) * (norms[0] if len(norms) else 0) < 2.0**52
+                most = float(np.sqrt(query @ query)) * (norms[0] if len(norms) else 0)
+                if most >= 2.0**62:
+                    raise OverflowError("products of these vectors pass 64 bits")
+                exact = most < 2.0**52
                 scores, found = _retrieved(ids, rows, norms, query_id, query, k, exact)
-                out.append((np.full(len(found), query_id), found, scores.astype(np.int64)))
+                out.append((np.full(len(found), query_id), found, scores))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in out]), pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
-    held = []
+    held, size = [], 0
     for row in queries.toLocalIterator():
         held.append((row.id, row.vector))
-        if len(held) == QUERY_BLOCK:
+        size += 8 * len(row.vector)
+        if len(held) >= QUERY_BLOCK or size >= QUERY_BYTES:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
@@ -145,11 +157,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)))
 
-    rows, found = whole(vectors), None
-    for block in _query_blocks(whole(queries).distinct()):
-        part = rows.mapInArrow(partial(_searched, sent=spark.sparkContext.broadcast(block), k=k, scale=scale), _OUT)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], _OUT)
+    rows = whole(vectors)
+    blocks = _query_blocks(whole(queries).distinct())
+    block, folder = next(blocks, []), None
+    while True:
+        sent, block = spark.sparkContext.broadcast(block), next(blocks, None)
+        found = rows.mapInArrow(partial(tidy, _searched, sent=sent, k=k, scale=scale), _OUT)
+        if block is None and folder is None:
+            break
+        # of several passes each is done before the next is sent
+        folder = folder or f"{checkpoint_root(spark)}/top-k-{uuid.uuid4().hex}"
+        found.write.mode("append").parquet(folder)
+        sent.destroy()
+        if block is None:
+            found = spark.read.schema(_OUT).parquet(folder)
+            break
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

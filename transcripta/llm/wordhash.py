@@ -1,20 +1,21 @@
 """Vectorised word scanning of Arrow text columns.
 
 Every operator on words reads UTF-8 bytes, never Python strings: a byte table
-says which bytes belong to a word, and a polynomial prefix sum turns each word
-into a 64-bit hash in a fixed number of numpy passes.  A block of texts is
-bounded in bytes, so a task's memory doesn't depend on how many rows Arrow hands
-over; only a single text larger than the block makes a larger one.
+says which bytes belong to a word, and words are mixed into 64-bit hashes eight
+bytes at a time, all words of a block at once.  A block of texts is bounded in
+bytes, so a task's memory doesn't depend on how many rows Arrow hands over; only a
+single text larger than the block makes a larger one.
 
 Nulls count as empty texts.  Two different words share a hash with a chance of
-about 2**-64, which the operators accept as equality.
+about 2**-64, which the operators accept as equality; every step mixes all bits, so
+no family of words is known to collide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,13 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The low 0 to 8 bytes of an integer.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _lowered() -> np.ndarray:
@@ -73,11 +79,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word ``data[start:end]``, eight bytes at a time; long words by BLAKE2."""
+    length = end - start
+    hashes = mixed(length.astype(np.uint64) * _BASE)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    left = np.where(length > LONG_WORD, 0, length)
+    active, passed = np.flatnonzero(left), 0
+    while len(active):
+        rest = left[active]
+        chunk = eights[start[active] + passed]
+        chunk &= _MASKS[np.minimum(rest, 8)]
+        # bijective in the chunk: words of up to eight bytes and one length never collide
+        hashes[active] = mixed((hashes[active] ^ chunk) * _BASE)
+        left[active] = rest - 8
+        active = active[rest > 8]
+        passed += 8
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
 
 
 def scanned(values: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
@@ -96,11 +117,7 @@ def scanned(values: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Word
     ends[:-1] &= ~word[1:]
     ends[edges - 1] = word[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(1 << max(16, int(size - 1).bit_length()))
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-    hashes = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(values, offsets, np.searchsorted(start, offsets), start, end, hashes)
+    return Words(values, offsets, np.searchsorted(start, offsets), start, end, _hashed(data, start, end))
 
 
 def blocks(texts: pa.Array, inside: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
