@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, license_scan, line_dedup, mixing, pii, quality_fm, sql, topk, warc_fixity
+from . import decontaminate, exact_dedup, html_text, jaccard_join, license_scan, line_dedup, mixing, pii, prefix_trie, quality_fm, spelling, sql, topk, warc_fixity
 
 #: Rows of this remainder are never learned from.
 HELD_OUT = "crc32(cast(id as string)) % 3 = 1"
@@ -75,8 +75,20 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_personal_data, op8_warc_fixity, op9_html_extraction, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_license_scan, op4_source_mixing, op5_ngram_jaccard_join, op6_line_dedup, op7_personal_data, op8_warc_fixity, op9_html_extraction, op10_exact_topk, op11_exact_dedup, op12_prefix_trie, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,6 +53,53 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 10"""
 
 
+COPIES = f"""
+with t as (select doc_id, {_LOWERED} n from documents)
+select doc_id, max(doc_id) over g keep_id, count(*) over g group_size, doc_id = max(doc_id) over g kept, sha256(n) text_sha256 from t window g as (partition by n)"""
+
+#: CRC-32 by its byte table, which follows from the polynomial.
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, i)) t)"
+
+
+def _crc(bytes_: str) -> str:
+    return f"xor(list_reduce({bytes_}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+TRIE = rf"""
+with {_CRC_TABLE},
+turns as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, substr(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) p,
+  coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+convs as (select distinct c, c - c % 20 b, {_crc("list_transform(string_split(c::varchar, ''), lambda y: ord(y)::bigint)")} % 4 h from turns, crc),
+rebuilt as (select c.c, row_number() over (partition by c.c order by not t.head, t.p) d, r, x from convs c join (select *, unnest([true, false]) head from turns) t on t.head and t.c = c.b and t.p <= c.h or not t.head and t.c = c.c and t.p > c.h),
+hashed as (select c, d, x, md5(r || chr(1) || md5(x)) t from rebuilt),
+path as (select c, 0 d, '' k, null x from convs union all select c, d, string_agg(t, '') over (partition by c order by d) k, x from hashed),
+length as (select c, max(d) len from path group by 1),
+node as (select d, k, min(c) conv_id, count(*) n, any_value(x) x, string_agg(case when d = len then c::varchar end, ',' order by c) ends from path join length using (c) group by 1, 2),
+own as (select d, k, conv_id, n, coalesce(ends, '') ends, case when d > 0 then (n - 1) * len(regexp_extract_all(x, '[^ 	-
+]+')) else 0 end saved, not exists (select 1 from node m where m.d = node.d + 1 and m.k[: 32 * node.d] = node.k) leaf from node)
+select v.conv_id::bigint conv_id, v.d::bigint depth, any_value(w.conv_id)::bigint parent_conv_id, any_value(v.n)::bigint n_convs, (count(*) filter (u.d = v.d + 1))::bigint n_children,
+  (count(*) filter (u.leaf))::bigint n_leaves, sum(u.saved)::bigint saved_tokens, sha256(any_value(v.ends)) ends_sha256
+from own v join own u on u.d >= v.d and u.k[: 32 * v.d] = v.k left join own w on w.d = v.d - 1 and w.k = v.k[: 32 * w.d] group by v.conv_id, v.d"""
+
+_CODE = "ord(y)::bigint"
+_UTF8 = f"flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda y: case when {_CODE} < 128 then [{_CODE}] else [192 | ({_CODE} >> 6), 128 | ({_CODE} & 63)] end))"
+
+SPELLING = rf"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, w, count(*) n from (select coalesce(doc_id::varchar, '') doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) w from documents) where length(w) > 6 group by 1, 2),
+drawn as (select w, n, {_crc(_UTF8)} h from runs, crc),
+words as materialized (select word, sum(n)::bigint n from (select case when h % 31 = 0 then w[: h % length(w)] || w[h % length(w) + 2 :] else w end word, n from drawn) where length(word) > 6 group by 1 having sum(n) > 1),
+cut as materialized (select word, n, i, word[: i - 1] || word[i + 1 :] short from words, range(1, 200) r(i) where i <= length(word)),
+one as (select distinct a.word a, a.n an, b.word b, b.n bn from cut a join words b on a.short = b.word),
+near as materialized (select a.word, a.n, b.word near, b.n near_n from cut a join cut b on a.i = b.i and a.short = b.short and a.word <> b.word
+  union select a, an, b, bn from one union select b, bn, a, an from one),
+counts as (select word, count(*) n_near from near group by 1),
+forms as materialized (select word, near form, near_n form_n from (select *, row_number() over (partition by word order by near_n desc, encode(near)) k from near) where k = 1 and near_n >= 10 * n),
+chain as (select word, form step, 1 k from forms union all select chain.word, forms.form, k + 1 from chain join forms on chain.step = forms.word),
+roots as (select word, arg_max(step, k) root from chain group by 1)
+select word, n, coalesce(n_near, 0)::bigint n_near, form, form_n, coalesce(root, word) root from words left join counts using (word) left join forms using (word) left join roots using (word)"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_decontamination": DECONTAMINATION,
@@ -60,4 +107,7 @@ def oracles() -> dict[str, str]:
         "op5_ngram_jaccard_join": JACCARD,
         "op8_warc_fixity": fixity(),
         "op10_exact_topk": TOPK,
+        "op11_exact_dedup": COPIES,
+        "op12_prefix_trie": TRIE,
+        "op13_spelling_variants": SPELLING,
     }
