@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from transcripta.operators import ingest, lifecycle, search
+from transcripta.operators import ingest, lifecycle
 from transcripta.schemas import TABLES
 from transcripta.sources.transcripts import discovered, discovery, lines, with_root, without_root
 
@@ -62,21 +62,6 @@ def test_many_lines_of_one_file(spark):
     assert (got.n, got.last) == (60_000, len(content) - len(b"line 59999"))
 
 
-def test_index_follows_its_documents(spark, tmp_path):
-    rows = [(k, f"common word{k % 7} two words") for k in range(200)] + [(900, None), (901, "")]
-    docs = spark.createDataFrame(rows, "did long, text string")
-    index = search.Index(spark, f"file://{tmp_path}/index", buckets=4, spread=2).build(docs)
-
-    def found(index, *terms):
-        return {r.did for r in index.ranked(list(terms)).collect()}
-
-    assert found(index, "common", "word3") == {k for k in range(200) if k % 7 == 3} == found(index, "word3-two")
-    grown = index.add(spark.createDataFrame([(3, "changed entirely"), (1000, "word3 two")], "did long, text string"))
-    assert found(grown, "word3-two") == ({k for k in range(200) if k % 7 == 3} - {3}) | {1000} and found(grown, "entirely") == {3}
-    less = grown.without(spark.createDataFrame([(1000,)], "did long"))
-    assert 1000 not in found(less, "word3-two") and found(less, "nothing") == set()
-
-
 def test_folders_and_settings(spark):
     folders = spark.createDataFrame([("f1", "One", 0, 1, 1), ("f2", "Two", 1, 1, 1)], TABLES["folder"])
     filed = spark.createDataFrame([("s", "f1", 1), ("t", "f2", 1)], TABLES["session_folder"])

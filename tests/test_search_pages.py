@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from transcripta.functions import folding
 from transcripta.functions.cursors import Query
 from transcripta.operators import search
 
@@ -34,8 +37,49 @@ def test_folding_phrases_and_snippets(spark, documents):
     assert f"{search.MARKS[0]}Café{search.MARKS[1]}" in text
 
 
-def test_index_ranks_as_the_scan_does(spark, documents, tmp_path):
-    index = search.Index(spark, f"file://{tmp_path}").build(documents)
-    for terms in (["alpha"], ["alpha", "the-end"]):
-        want = {r.did: round(r["rank"], 9) for r in search.ranked(documents, terms).collect()}
-        assert {r.did: round(r["rank"], 9) for r in index.ranked(terms).collect()} == want
+@pytest.mark.parametrize(
+    ("text", "terms"),
+    [
+        ("мой Первый Ёж", ["мои", "МОЙ", "первый", "еж"]),
+        ("나는 한국 사람", ["한국"]),
+        ("日本が好き、ガス", ["日本が好き", "カス"]),
+        ("Tiếng Việt", ["tieng", "TIẾNG", "viet"]),
+        ("naïve Ångström", ["naive", "NAÏVE", "angstrom"]),
+        ("ΣΊΣΥΦΟΣ λόγος", ["σισυφος", "ΛΟΓΟΣ"]),
+        ("été", ["été", "ete"]),
+        ("हिन्दी भाषा", ["हिन्दी"]),
+    ],
+)
+def test_every_script_is_found(spark, text, terms):
+    docs = spark.createDataFrame([(1, text), (2, "something else")], "did long, text string")
+    for term in terms:
+        assert [r.did for r in search.ranked(docs, [term]).collect()] == [1], term
+
+
+def test_texts_and_queries_are_folded_alike(spark):
+    every = [chr(c) for c in range(0x21, 0x30000) if not 0xD800 <= c < 0xE000]
+    rows = [(k, "".join(every[k : k + 64])) for k in range(0, len(every), 64)]
+    got = dict(map(tuple, spark.createDataFrame(rows, "k int, text string").select("k", folding.folded(F.col("text"))).collect()))
+    # the two lower-case tables differ in a few letters that one Unicode version has and the other hasn't
+    different = sum(got[k] != folding.fold(text) for k, text in rows)
+    assert different <= 4
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(3000):
+        words = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
+        phrases = [[rng.choice("abcde") for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+        width = rng.randint(1, 8)
+        places = search.phrase_places(words, phrases)
+        inside = {s: [p for p in places if p[0] >= s and p[1] <= s + width] for s in range(max(0, len(words) - width) + 1)}
+        best = max(inside, key=lambda s: (len({p[2] for p in inside[s]}), len(inside[s]), -s))
+        assert search.best_window(len(words), places, width) == (best, len({p[2] for p in inside[best]}), len(inside[best]))
+
+
+def test_snippets_show_texts_as_they_stand():
+    a, b = search.MARKS
+    assert search.marked_window("x " * 20 + "Ein Café, the END-of it", [["cafe"], ["the", "end"]], 5) == f"…x Ein {a}Café{b}, {a}the END{b}…"
+    assert search.marked_window("日本が好き", [["日本か好き"]]) == f"{a}日本が好き{b}"
+    assert search.marked_window("a b a b a", [["a", "b", "a"]]) == f"{a}a b a{b} {a}b a{b}"
+    assert search.marked_window(None, [["a"]]) == "" and search.marked_window("--", [["a"]]) == ""

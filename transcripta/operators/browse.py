@@ -118,3 +118,9 @@ def folder_list(folders: DataFrame, session_folder: DataFrame) -> DataFrame:
 def shown_patch(state: Column, content: Column) -> Column:
     """A patch's text; null while it is quarantined or not UTF-8."""
     return F.when(state == "failed_quarantined", F.lit(None)).otherwise(F.try_validate_utf8(content.cast("string")))
+
+
+def patches(file_events: DataFrame, blobs: DataFrame) -> DataFrame:
+    """File events that have a patch, with its blob's state and content."""
+    held = blobs.select(F.col("id").alias("patch_blob_id"), "scan_state", "content")
+    return file_events.select("id", "session_id", "patch_blob_id").join(held, "patch_blob_id")

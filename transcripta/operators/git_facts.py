@@ -52,7 +52,7 @@ def evidence(known: DataFrame) -> DataFrame:
     rows = F.concat(
         F.array(one("git_common_dir", F.col("common_key"), "high")),
         F.transform("remotes", lambda r: one("remote", fnv1a_hex(r), "medium")),
-        F.when(F.size("roots") > 0, F.array(one("root_set", fnv1a_hex(F.array_join("roots", "\n")), "low"))).otherwise(F.array().cast("array<struct<kind:string,value_hash:string,confidence:string>>")),
+        F.when((F.size("roots") > 0) & ~F.coalesce("truncated", F.lit(False)), F.array(one("root_set", fnv1a_hex(F.array_join("roots", "\n")), "low"))).otherwise(F.array().cast("array<struct<kind:string,value_hash:string,confidence:string>>")),
     )
     out = known.select("repository_id", F.explode(rows).alias("e")).select("repository_id", "e.kind", "e.value_hash", "e.confidence")
     return out.select(det_id("ev", F.col("repository_id"), F.col("kind"), F.col("value_hash")).alias("id"), "*").dropDuplicates(["id"])
@@ -60,9 +60,9 @@ def evidence(known: DataFrame) -> DataFrame:
 
 def linked(segments: DataFrame, known: DataFrame) -> DataFrame:
     """Segments with the repository and worktree of their folder, where facts have it."""
-    found = known.select("cwd", F.col("repository_id").alias("_r"), det_id("wt", F.col("repository_id"), F.col("workdir")).alias("_w")).dropDuplicates(["cwd"])
+    found = known.select("cwd", F.col("repository_id").alias("_r"), det_id("wt", F.col("repository_id"), F.col("workdir")).alias("_w"), F.col("identity_confidence").alias("_c")).dropDuplicates(["cwd"])
     joined = segments.join(found, "cwd", "left")
-    return joined.withColumns({"repository_id": F.coalesce("repository_id", "_r"), "worktree_id": F.coalesce("worktree_id", "_w"), "resolution_confidence": F.when(F.col("_r").isNotNull(), "current_only").otherwise(F.col("resolution_confidence"))}).drop("_r", "_w").select(*segments.columns)
+    return joined.withColumns({"repository_id": F.coalesce("repository_id", "_r"), "worktree_id": F.coalesce("worktree_id", "_w"), "resolution_confidence": F.coalesce("_c", "resolution_confidence")}).drop("_r", "_w", "_c").select(*segments.columns)
 
 
 def captured(segments: DataFrame, known: DataFrame, observed_at: int) -> DataFrame:

@@ -10,17 +10,21 @@ fails alone.
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exprs import content_hash, det_id
 from ..schemas import KEYS
 from ..sources.transcripts import MOST_BYTES, lines, oversized
 from ..streaming.changes import classified, fingerprints
+from .git_facts import recorded
 from .lifecycle import Archive, deduplicated_content, replaced_by_key
+from .scratch import settled
 from .secrets import patch_state, scanned, searchable
 from .sequences import latest
 from .transcripts import search_documents, search_fields, vendor_a, vendor_b
@@ -79,7 +83,12 @@ def found_sources(manifest: DataFrame, artifacts: DataFrame, states: DataFrame)
     moved = latest(old.where("native_file_id is not null"), ["agent_id", "native_file_id", "full_hash"], [F.col("last_seen_at").desc_nulls_last(), F.col("id")])
     moved = moved.select("agent_id", "native_file_id", "full_hash", facts.alias("_moved"))
     joined = manifest.join(by_path, ["agent_id", "path"], "left").join(moved, ["agent_id", "native_file_id", "full_hash"], "left")
-    return joined.withColumn("known", F.coalesce("_here", "_moved")).drop("_here", "_moved")
+    # an artifact that is still at its path hasn't moved, and one that has is one file: the first by path
+    here = joined.where("_here is not null").select(F.col("_here.id").alias("_id")).distinct().withColumn("_stays", F.lit(True))
+    asked = joined.withColumn("_id", F.when(F.col("_here").isNull(), F.col("_moved.id"))).join(here, "_id", "left")
+    claimed = asked.where("_id is not null and _stays is null").groupBy("_id").agg(F.min("path").alias("_path"))
+    told = asked.join(claimed, "_id", "left").withColumn("known", F.coalesce("_here", F.when(F.col("path") == F.col("_path"), F.col("_moved"))))
+    return told.drop("_here", "_moved", "_id", "_stays", "_path")
 
 
 def detached(old_links: DataFrame, new_links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,22 +114,35 @@ def _manifest(files: DataFrame, artifacts: DataFrame, states: DataFrame) -> Data
     return rows.withColumns({"artifact_id": F.coalesce("known.id", fresh), "skipped": F.coalesce(skipped, F.lit(False))})
 
 
-def ingested(files: DataFrame, artifacts: DataFrame, states: DataFrame, now: Column, registry: Registry | None = None) -> dict[str, DataFrame]:
+def ingested(files: DataFrame, artifacts: DataFrame, states: DataFrame, now: Column, registry: Registry | None = None, seen: Observation | None = None) -> dict[str, DataFrame]:
     """Rows that a batch of files (agent_id, path, modificationTime, length, content) brings, by table.
 
-    Besides: "skipped" (path) and "failures" (agent_id, path, kind, reason).
+    Besides: "skipped" (path) and "failures" (agent_id, path, kind, reason).  A vendor
+    without a file to parse isn't planned; where none has one, the tables of a session
+    are missing.  ``seen`` observes how many files there are and are skipped.
     """
     registry = registry or both_vendors()
-    routed = F.col("agent_id").isin(*registry.adapters)
+    routed = F.coalesce(F.col("agent_id").isin(*registry.adapters), F.lit(False))
     manifest = _manifest(files.where(routed), artifacts, states)
+    if seen is not None:
+        manifest = manifest.observe(seen, F.count("*").alias("files"), F.count_if("skipped").alias("skipped"))
+    manifest = settled(manifest, "ingest-manifest")
+    unrouted = files.where(~routed).select("agent_id", "path", F.lit("adapter_not_registered").alias("kind"), F.lit("no adapter has this agent id").alias("reason"))
+    skipped = manifest.where("skipped").select("path")
+    agents = registry.agents(files)
+    asked = {r.agent_id for r in manifest.where("not skipped").select("agent_id").distinct().collect()}  # a row for each adapter at most
+    if not asked:
+        return {"agent": agents, "skipped": skipped, "failures": unrouted} | _source_tables(manifest, now)
     parse = files.where(routed).join(manifest.where("not skipped").select("path"), "path", "left_semi").select("agent_id", "path", "length", "content")
     every = lines(parse)
     out: dict[str, DataFrame] = {}
-    for name, adapter in sorted(registry.adapters.items()):
-        for table, rows in adapter.parse(every.where(F.col("agent_id") == name)).items():
+    for name in sorted(asked):
+        for table, rows in registry.adapters[name].parse(every.where(F.col("agent_id") == name)).items():
             out[table] = out[table].unionByName(rows) if table in out else rows
-    too_large = oversized(files.where(routed))
-    out["agent_session"] = out["agent_session"].unionByName(too_large, allowMissingColumns=True)
+    out["agent_session"] = out["agent_session"].unionByName(oversized(parse), allowMissingColumns=True)
+    # read by several tables, and parsed once
+    for table in ("agent_session", "message_part", "file_event", "session_segment"):
+        out[table] = settled(out[table], "ingest-parsed")
 
     found, shown = searchable(search_fields(out))
     keys = ("session_id", "source_kind", "source_id", "field")
@@ -132,40 +154,58 @@ def ingested(files: DataFrame, artifacts: DataFrame, states: DataFrame, now: Col
 
     links = out["session_source"].join(manifest.select("agent_id", "path", F.col("artifact_id").alias("source_artifact_id")), ["agent_id", "path"])
     broken = out["failures"].select("agent_id", "path", F.lit("source_failed").alias("kind"), "reason")
-    unrouted = files.where(~F.coalesce(routed, F.lit(False))).select("agent_id", "path", F.lit("adapter_not_registered").alias("kind"), F.lit("no adapter has this agent id").alias("reason"))
-    seen = manifest.join(broken.select("path"), "path", "left_anti")
     return {
         **{k: v for k, v in out.items() if k not in ("failures", "notes", "session_source")},
         "file_event": out["file_event"].withColumn("patch_blob_id", F.when(F.col("patch_text").isNotNull(), F.concat(F.lit("blob_"), content_hash(F.col("patch_text"))))),
-        "agent": registry.agents(files),
+        "agent": agents,
         "blob": blobs,
         "secret_finding": found,
         "search_document": search_documents(shown, out["agent_session"]),
-        "source_artifact": seen.select(F.col("artifact_id").alias("id"), "agent_id", "path", "native_file_id", "size", "mtime_ms", "prefix_hash", "full_hash", "generation", F.lit("active").alias("state"), now.alias("last_seen_at")),
-        "source_artifact_path": seen.select(F.col("artifact_id").alias("source_artifact_id"), "path", now.alias("first_seen_at"), now.alias("last_seen_at")),
-        "ingest_state": seen.select(F.col("artifact_id").alias("source_artifact_id"), F.lit(PARSER_VERSION).alias("parser_version"), "last_complete_offset", "last_complete_line", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("updated_at")),
+        "git_observation": recorded(out["session_segment"]).withColumn("observed_at", now),
         "session_source": links.select("session_id", "source_artifact_id", "first_seq", "last_seq"),
-        "skipped": manifest.where("skipped").select("path"),
+        "skipped": skipped,
         "failures": broken.unionByName(unrouted),
         "notes": out["notes"],
+    } | _source_tables(manifest.join(broken.select("path"), "path", "left_anti"), now)
+
+
+def _source_tables(seen: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """What the archive knows of the files of a manifest."""
+    return {
+        "source_artifact": seen.select(F.col("artifact_id").alias("id"), "agent_id", "path", "native_file_id", "size", "mtime_ms", "prefix_hash", "full_hash", "generation", F.lit("active").alias("state"), now.alias("last_seen_at")),
+        "source_artifact_path": seen.select(F.col("artifact_id").alias("source_artifact_id"), "path", now.alias("first_seen_at"), now.alias("last_seen_at")),
+        "ingest_state": seen.select(F.col("artifact_id").alias("source_artifact_id"), F.lit(PARSER_VERSION).alias("parser_version"), "last_complete_offset", "last_complete_line", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("updated_at")),
     }
 
 
-def ingest(archive: Archive, files: DataFrame, registry: Registry | None = None) -> dict[str, int]:
-    """Ingests a batch into the archive: how many files came in, were skipped, and failed."""
-    now = F.unix_millis(F.current_timestamp())
-    rows = ingested(files, archive.read("source_artifact"), archive.read("ingest_state"), now, registry)
-    report = {"skipped": rows["skipped"].count(), "failed": rows["failures"].count()}
-    report["ingested"] = files.count() - report["skipped"] - report["failed"]
-    links, gone = detached(archive.read("session_source"), rows["session_source"])
+def ingest(archive: Archive, files: DataFrame, registry: Registry | None = None, now: Column | None = None) -> dict[str, int]:
+    """Ingests a batch into the archive: how many files came in, were skipped, and failed.
+
+    Rows of sessions go in before the sessions, and what is known of the files after
+    both: a batch that dies is parsed again by the next, and replaces its own rows.
+    The counts are observed while tables are written that are needed anyway.
+    """
+    now = F.lit(int(time.time() * 1000)).cast("long") if now is None else now
+    seen, failed = (Observation(f"{kind}-{uuid.uuid4().hex}") for kind in ("files", "failures"))
+    rows = ingested(files, archive.read("source_artifact"), archive.read("ingest_state"), now, registry, seen)
+    settled(rows["failures"].observe(failed, F.count("*").alias("failed"), F.count_if(F.col("kind") == "source_failed").alias("broken")), "ingest-failures")
+    report = {"skipped": seen.get["skipped"], "failed": failed.get["failed"], "ingested": seen.get["files"] - seen.get["skipped"] - failed.get["broken"]}
     old_paths = archive.read("source_artifact_path").select("source_artifact_id", "path", F.col("first_seen_at").alias("_first"))
     paths = rows["source_artifact_path"].join(old_paths, ["source_artifact_id", "path"], "left")
     merged = {**rows, "source_artifact_path": paths.withColumn("first_seen_at", F.coalesce("_first", "first_seen_at")).drop("_first")}
-    archive.replace_sessions(rows, keep=("session_folder", "session_source"))
-    archive.write("session_source", replaced_by_key(links, archive.shaped("session_source", rows["session_source"]), KEYS["session_source"]))
-    for table in ("agent", "blob", "source_artifact", "source_artifact_path", "ingest_state"):
+    gone = None
+    if "agent_session" in rows:
+        links, gone = detached(archive.read("session_source"), rows["session_source"])
+        gone = settled(gone, "ingest-gone")
+        links = replaced_by_key(links, archive.shaped("session_source", rows["session_source"]), KEYS["session_source"])
+        for table in ("agent", "blob"):
+            archive.merge(table, archive.shaped(table, merged[table]))
+        archive.write("session_source", links)
+        archive.replace_sessions(rows, keep=("session_folder", "session_source"))
+        if not gone.isEmpty():
+            archive.forget(gone)
+    for table in ("source_artifact_path", "ingest_state", "source_artifact"):
         archive.merge(table, archive.shaped(table, merged[table]))
-    archive.forget(gone)
     return report
 
 

@@ -7,16 +7,27 @@ whole version of each table.
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import content_hash, fence_of, folder_name
 from ..schemas import KEYS, OF_SESSION, TABLES
+from .posting_index import Index
+from .scratch import settled
 from .sequences import latest
 
+#: A file beside a version's data that Spark's readers pass over.
+CHECKSUM = "_checksum"
+QUARANTINE = "quarantine"
+
 
 def replaced_by_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` without the keys of ``new``, and ``new``."""
@@ -55,6 +66,15 @@ def orphans(blobs: DataFrame, references: list[DataFrame], key: str = "id") -> D
     return blobs.join(every.distinct(), key, "left_anti")
 
 
+@dataclass(frozen=True)
+class Recovery:
+    """What recovery found and did: absent, healthy, restored (from ``backup``) or quarantined; ``aside`` holds the damaged archive."""
+
+    outcome: str
+    aside: str | None = None
+    backup: str | None = None
+
+
 class Archive:
     """Versioned tables below one path.
 
@@ -89,7 +109,40 @@ class Archive:
     def write(self, table: str, rows: DataFrame) -> None:
         version = (self.versions(table) or [0])[-1] + 1
         # a version that a lost writer left unfinished is overwritten
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table])).write.mode("overwrite").parquet(f"{self.path}/{table}/v{version}")
+        self._written(rows.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table])), f"{self.path}/{table}/v{version}")
+
+    def rewrite(self, table: str, rows: DataFrame) -> None:
+        """A new version with the rows' own columns, for schema steps."""
+        self._written(rows, f"{self.path}/{table}/v{(self.versions(table) or [0])[-1] + 1}")
+
+    def _written(self, rows: DataFrame, path: str) -> None:
+        """Writes a table, and beside its files what they hold: rows, and the sum of the rows' hashes."""
+        rows.write.mode("overwrite").parquet(path)
+        stream = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{CHECKSUM}"), True)
+        stream.write(json.dumps(self._sum_of(path, rows.schema)).encode())
+        stream.close()
+
+    def _sum_of(self, path: str, schema: StructType) -> dict:
+        """The checksum of a table's rows, in whatever order and files they lie."""
+        rows = self.spark.read.schema(schema).parquet(path)
+        found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hashes")).first()
+        return {"rows": found.n, "hashes": found.hashes, "schema": schema.json()}
+
+    def intact(self, path: str) -> bool:
+        """Whether a written table can be read and holds what was written."""
+        note = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{CHECKSUM}")
+        if not self._fs.exists(note) or not self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            return False
+        stream = self._fs.open(note)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            wanted = json.loads(text)
+            return self._sum_of(path, StructType.fromJson(json.loads(wanted["schema"]))) == wanted
+        except (PySparkException, Py4JJavaError, ValueError):
+            return False  # files that can't be read are damage, which is what is asked here
 
     def merge(self, table: str, rows: DataFrame) -> None:
         self.write(table, replaced_by_key(self.read(table), rows.select(*TABLES[table].names), KEYS[table]))
@@ -108,70 +161,110 @@ class Archive:
         """Columns that a producer never fills are null."""
         return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table]))
 
-    def forget(self, session_ids: DataFrame) -> None:
-        """The sessions (session_id), all their rows, and blobs that nothing refers to any more."""
+    def forget(self, session_ids: DataFrame, index: Index | None = None) -> list[str]:
+        """The sessions (session_id), all their rows, and blobs that nothing refers to any more.
+
+        ``index`` loses their search documents too.  Returns the paths of their
+        sources, which stay where they are and would be ingested again.
+        """
+        session_ids = settled(session_ids.select("session_id").distinct(), "forgotten")
+        sources = self.read("session_source").join(session_ids, "session_id", "left_semi").select(F.col("source_artifact_id").alias("id"))
+        paths = [r.path for r in self.read("source_artifact").join(sources, "id", "left_semi").select("path").distinct().orderBy("path").toLocalIterator()]
+        if index is not None:
+            index.without(self.read("search_document").join(session_ids, "session_id", "left_semi").select("did"))
         for name in OF_SESSION:
             self.write(name, self.read(name).join(session_ids, "session_id", "left_anti"))
         self.write("agent_session", self.read("agent_session").join(session_ids.withColumnRenamed("session_id", "id"), "id", "left_anti"))
         blobs = self.read("blob")
         gone = orphans(blobs, [self.read("file_event").select("patch_blob_id"), self.read("message_part").select("blob_id")])
         self.write("blob", blobs.join(gone.select("id"), "id", "left_anti"))
+        return paths
 
     def forget_all(self, reset_manifest: bool = False) -> None:
         """All content; settings and folders stay, jobs too unless the manifest is reset."""
-        stay = {"setting", "folder", "job"} - ({"job"} if reset_manifest else set())
+        stay = {"setting", "folder", "job", "ingest_batch"} - ({"job"} if reset_manifest else set())
         for name, schema in TABLES.items():
             if name not in stay:
                 self.write(name, self.spark.createDataFrame([], schema))
 
-    def purge(self) -> list[str]:
-        """Drops every copy that forgotten rows could be read from: older versions of all tables, and all backups."""
+    def purge(self, index: Index | None = None) -> list[str]:
+        """Drops every copy that forgotten rows could be read from; returns the names of the backups that went.
+
+        Those are older and unfinished versions of all tables, backups, what recovery
+        put aside, and the index's dead postings.
+        """
         self.prune(1)
         gone = self.backups()
-        self._fs.delete(self._folder("backups"), True)
+        for folder in ("backups", QUARANTINE):
+            self._fs.delete(self._folder(folder), True)
+        if index is not None:
+            index.compacted()
         return gone
 
-    def forget_everything(self) -> list[str]:
+    def forget_everything(self, index: Index | None = None) -> list[str]:
         """All content, and every copy of it; returns the exports, which belong to the user and stay."""
+        if index is not None:
+            index.without(self.read("search_document").select("did"))
         self.forget_all(reset_manifest=True)
-        self.purge()
+        self.purge(index)
         return self.exports()
 
     def exports(self) -> list[str]:
         folder = self._folder("exports")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
 
-    def verify(self, name: str) -> DataFrame:
-        """(table, rows, repeated, ok) of a backup: whether each table is there, readable and keeps its key."""
-        found = None
-        for table, schema in TABLES.items():
-            there = self._fs.exists(self._folder("backups", name, table, "_SUCCESS"))
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/backups/{name}/{table}") if there else self.spark.createDataFrame([], schema)
-            counted = rows.groupBy(*KEYS[table]).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated"))
-            row = counted.select(F.lit(table).alias("table"), "rows", "repeated", (F.lit(there) & (F.col("repeated") == 0)).alias("ok"))
-            found = row if found is None else found.unionByName(row)
-        return found
-
-    def recover(self) -> str | None:
-        """Restores the newest backup that verifies; None if there is none."""
+    def verify(self, name: str) -> bool:
+        """Whether every table of a backup is there and holds what was written."""
+        return all(self.intact(f"{self.path}/backups/{name}/{table}") for table in TABLES)
+
+    def damaged(self) -> list[str]:
+        """Tables whose current version isn't what was written, or which have files but no finished version."""
+        out = []
+        for table in TABLES:
+            found = self.versions(table)
+            if found and not self.intact(f"{self.path}/{table}/v{found[-1]}") or not found and self._fs.exists(self._folder(table)):
+                out.append(table)
+        return out
+
+    def recover(self) -> Recovery:
+        """Looks first: a healthy archive isn't touched.  A damaged one is put aside whole, then the newest intact backup restored."""
+        there = [table for table in TABLES if self._fs.exists(self._folder(table))]
+        if not there:
+            return Recovery("absent")
+        if not self.damaged():
+            return Recovery("healthy")
+        aside = f"{QUARANTINE}/{uuid.uuid4().hex}"
+        self._fs.mkdirs(self._folder(aside))
+        for table in there:
+            if not self._fs.rename(self._folder(table), self._folder(aside, table)):
+                raise OSError(f"can't put aside {self.path}/{table}")
         for name in reversed(self.backups()):
-            if not self.verify(name).where("not ok").head(1):
+            if self.verify(name):
                 self.restore(name)
-                return name
-        return None
+                return Recovery("restored", f"{self.path}/{aside}", name)
+        return Recovery("quarantined", f"{self.path}/{aside}")
 
     def prune(self, keep: int = 2) -> None:
-        """Old versions go, but for the newest ``keep`` of each table."""
+        """Old versions go, but for the newest ``keep`` of each table, and versions that no writer finished."""
         for table in TABLES:
-            for version in self.versions(table)[:-keep]:
-                self._fs.delete(self._folder(table, f"v{version}"), True)
+            kept = {f"v{v}" for v in self.versions(table)[-keep:]}
+            if self._fs.exists(self._folder(table)):
+                for status in self._fs.listStatus(self._folder(table)):
+                    if status.getPath().getName() not in kept:
+                        self._fs.delete(status.getPath(), True)
+
+    def due(self, now_ms: int, hours: float) -> bool:
+        """Whether the newest backup is older than ``hours``, or there is none."""
+        folder = self._folder("backups")
+        times = [s.getModificationTime() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return not times or now_ms - max(times) >= hours * 3_600_000
 
     def backup(self, name: str, keep: int = 10) -> None:
         """A copy of every table's current version; the newest ``keep`` backups stay."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", name):
             raise ValueError("a backup's name is letters, digits, dots, dashes and underscores")
         for table in TABLES:
-            self.read(table).write.mode("overwrite").parquet(f"{self.path}/backups/{name}/{table}")
+            self._written(self.read(table), f"{self.path}/backups/{name}/{table}")
         for old in self.backups()[: -max(1, min(100, keep))]:
             self._fs.delete(self._folder("backups", old), True)
 

@@ -2,24 +2,23 @@
 
 A term is a phrase of one or more tokens that must stand next to each other.
 Token counts and lengths come from one pass over the documents without a shuffle;
-only the few totals that BM25 needs are aggregated.  ``Index`` keeps postings in
-tables instead, so that a query reads its terms' rows alone.
+only the few totals that BM25 needs are aggregated.  ``posting_index.Index`` keeps
+postings in tables instead, so that a query reads its terms' rows alone.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cursors import Query, clamp, read_search_cursor, search_cursor
 from ..functions.exprs import after_search, like_prefix
+from ..functions.folding import fold, folded
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -29,25 +28,18 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 SORTS = ("relevance", "newest", "oldest")
 
 
-def _unaccented() -> tuple[str, str]:
-    """Lower-case Latin letters with marks, and the letters they are built on."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xDF, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and a == a.lower()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), *_unaccented())
-
-
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(folded(text), F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def _is_token(c: str) -> bool:
+    kind = unicodedata.category(c)
+    return kind[0] in "LN" or kind == "Co"
+
+
 def phrase_of(term: str) -> list[str]:
     """The tokens of a search term, folded as documents are."""
-    text = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in term.lower())
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").split()
+    return "".join(c if _is_token(c) else " " for c in fold(term)).split()
 
 
 def _occurrences(words: str, phrase: list[str]) -> Column:
@@ -79,10 +71,10 @@ def ranked(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFra
     hits = counted
     for k in range(len(phrases)):
         hits = hits.where(F.col(f"_tf{k}") > 0)
-    return _scored(hits.crossJoin(F.broadcast(totals)), len(phrases)).select(*others, "rank")  # totals: one row
+    return scored(hits.crossJoin(F.broadcast(totals)), len(phrases)).select(*others, "rank")  # totals: one row
 
 
-def _scored(hits: DataFrame, phrases: int) -> DataFrame:
+def scored(hits: DataFrame, phrases: int) -> DataFrame:
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_length") / F.col("_mean"))
     total = F.lit(0.0)
     for k in range(phrases):
@@ -122,19 +114,97 @@ def page(hits: DataFrame, sort: str = "relevance", limit: int = 50, cursor: str
     return hits.orderBy(*order_of(sort)).limit(clamp(limit, 1, MOST_HITS))
 
 
+def token_places(text: str) -> list[tuple[int, int, str]]:
+    """(from, to, token) of a text as it stands: marks belong to the token that they follow."""
+    out, start, made = [], 0, ""
+    for at, c in enumerate(text):
+        bare = "".join(x for x in fold(c) if _is_token(x))
+        if bare:
+            start = start if made else at
+            made += bare
+        elif made and not unicodedata.category(c).startswith("M"):
+            out.append((start, at, made))
+            made = ""
+    return [*out, (start, len(text), made)] if made else out
+
+
+def phrase_places(words: list[str], phrases: list[list[str]]) -> list[tuple[int, int, int]]:
+    """(from, to, phrase) of each place where a phrase stands, in order."""
+    found = []
+    for k, phrase in enumerate(phrases):
+        n = len(phrase)
+        found += ((at, at + n, k) for at, word in enumerate(words) if word == phrase[0] and words[at : at + n] == phrase)
+    return sorted(found)
+
+
+def best_window(words: int, places: list[tuple[int, int, int]], width: int) -> tuple[int, int, int]:
+    """(start, distinct phrases, occurrences) of the stretch of ``width`` tokens that holds most whole phrases.
+
+    Ties go to more occurrences, then to the first.  One pass over the places: phrases
+    enter as the stretch's end reaches theirs, and leave as its start passes theirs.
+    """
+    best, last = (0, 0, 0), max(0, words - width)
+    places = [p for p in places if p[1] - p[0] <= width]
+    ends = sorted(places, key=lambda p: p[1])
+    held: dict[int, int] = {}
+    entered = left = count = 0
+    # a best stretch begins at 0, or ends where a phrase ends
+    for start in sorted({0, *(min(last, max(0, p[1] - width)) for p in places)}):
+        while entered < len(ends) and ends[entered][1] <= start + width:
+            held[ends[entered][2]] = held.get(ends[entered][2], 0) + 1
+            entered, count = entered + 1, count + 1
+        while left < len(places) and places[left][0] < start:
+            phrase = places[left][2]
+            held[phrase] -= 1
+            count -= 1
+            if not held[phrase]:
+                del held[phrase]
+            left += 1
+        if (len(held), count) > best[1:]:
+            best = (start, len(held), count)
+    return best
+
+
+def marked_window(text: str | None, phrases: list[list[str]], width: int = 12) -> str:
+    """The best stretch of a text as it stands, its phrases marked."""
+    tokens_ = token_places(text or "")
+    places = phrase_places([t for *_, t in tokens_], phrases)
+    start = best_window(len(tokens_), places, width)[0]
+    shown = tokens_[start : start + width]
+    if not shown:
+        return ""
+    at, out, until = shown[0][0], "", start
+    for low, high, _ in places:
+        # phrases that overlap share one pair of marks a piece
+        low = max(low, until)
+        if low < start or high > start + len(shown) or low >= high:
+            continue
+        out += text[at : tokens_[low][0]] + MARKS[0] + text[tokens_[low][0] : tokens_[high - 1][1]] + MARKS[1]
+        at, until = tokens_[high - 1][1], high
+    out += text[at : shown[-1][1]]
+    return ("…" if start else "") + out + ("…" if start + width < len(tokens_) else "")
+
+
+def window_of(text: Column, phrases: list[list[str]], words: int = 12) -> Column:
+    """Where the best stretch begins, how many distinct phrases it holds, and how many places."""
+
+    @F.pandas_udf("start bigint, phrases bigint, occurrences bigint")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        cut = ([t for *_, t in token_places(x or "")] for x in texts)
+        rows = [best_window(len(tokens_), phrase_places(tokens_, phrases), words) for tokens_ in cut]
+        return pd.DataFrame(rows, columns=["start", "phrases", "occurrences"])
+
+    return found(text)
+
+
 def snippet(text: Column, phrases: list[list[str]], words: int = 12) -> Column:
-    """Up to ``words`` words around the first matching one, marked; for the rows of a page."""
-    parts = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    wanted = F.array(*(F.lit(p[0]) for p in phrases))
-    every = F.array(*(F.lit(w) for p in phrases for w in p))
+    """The stretch of ``words`` tokens with the most distinct phrases, marked; for the rows of a page."""
 
-    def met(word: Column, these: Column) -> Column:
-        return F.arrays_overlap(tokens(word), these)
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: marked_window(x, phrases, words))
 
-    first = F.coalesce(F.array_min(F.filter(F.transform(parts, lambda w, i: F.when(met(w, wanted), i)), lambda i: i.isNotNull())), F.lit(0))
-    start = F.greatest(F.lit(0), first - words // 3)
-    shown = F.transform(F.slice(parts, start + 1, F.lit(words)), lambda w: F.when(met(w, every), F.concat(F.lit(MARKS[0]), w, F.lit(MARKS[1]))).otherwise(w))
-    return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(start + words < F.size(parts), "…").otherwise(""))
+    return cut(text)
 
 
 @dataclass
@@ -161,93 +231,6 @@ def search(documents: DataFrame, sessions: DataFrame, query: Query, sort: str =
     return Page(rows, search_cursor(rows[-1]["rank"], rows[-1]["started_at"], rows[-1]["did"]) if full else None)
 
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, term, places) of each distinct token of a document."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 64):
-            part = batch.slice(low, 64)
-            owners, terms, ends, flat = [], [], [0], []
-            for k, words in enumerate(part.column(1).to_pylist()):
-                places: dict[str, list[int]] = {}
-                for at, word in enumerate(words or ()):
-                    places.setdefault(word, []).append(at)
-                for word, found in places.items():
-                    owners.append(k)
-                    terms.append(word)
-                    flat += found
-                    ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int64())), pa.array(terms, pa.string()), lists], names=["did", "term", "places"])
-
-
-class Index:
-    """Postings in tables: bucketed by term for reading, one row for each document's length."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, spread: int = 8):
-        """``buckets`` folders of terms, each written by up to ``spread`` tasks: more for a larger corpus."""
-        self.spark, self.path, self.BUCKETS, self.SPREAD = spark, path, buckets, spread
-
-    def build(self, documents: DataFrame) -> Index:
-        words = documents.select("did", tokens(F.col("text")).alias("words"))
-        words.select("did", F.size("words").cast("long").alias("length")).write.mode("overwrite").parquet(f"{self.path}/lengths")
-        did = words.schema["did"].dataType.simpleString()
-        # a document's tokens lie in one row, so its postings need no shuffle
-        postings = words.mapInArrow(_posted, f"did {did}, term string, places array<int>")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int")
-        # a frequent term's rows spread over tasks, sorted within each file for pruning by its statistics
-        postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("did"), F.lit(self.SPREAD))).sortWithinPartitions("bucket", "term", "did").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        return self
-
-    def add(self, documents: DataFrame) -> Index:
-        """Replaces the rows of these documents and adds new ones; others stay."""
-        older = Index(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.BUCKETS, self.SPREAD)
-        fresh = Index(self.spark, f"{older.path}-new", self.BUCKETS, self.SPREAD).build(documents)
-        for table in ("lengths", "postings"):
-            old, new = (self.spark.read.parquet(f"{x.path}/{table}") for x in (self, fresh))
-            kept = old.join(new.select("did").distinct(), "did", "left_anti").unionByName(new)
-            writer = kept.write.mode("overwrite")
-            (writer if table == "lengths" else writer.partitionBy("bucket")).parquet(f"{older.path}/{table}")
-        return older
-
-    def without(self, dids: DataFrame) -> Index:
-        """An index of the same documents but those (did)."""
-        left = Index(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.BUCKETS, self.SPREAD)
-        for table in ("lengths", "postings"):
-            kept = self.spark.read.parquet(f"{self.path}/{table}").join(dids, "did", "left_anti")
-            writer = kept.write.mode("overwrite")
-            (writer if table == "lengths" else writer.partitionBy("bucket")).parquet(f"{left.path}/{table}")
-        return left
-
-    def ranked(self, terms: list[str]) -> DataFrame:
-        """(did, rank) of the documents that hold every term."""
-        phrases = [p for p in map(phrase_of, terms) if p]
-        postings, lengths = self.spark.read.parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/lengths")
-        totals = lengths.agg(F.count("*").alias("_n"), F.avg("length").alias("_mean"))
-        hits = None
-        for k, phrase in enumerate(phrases):
-            found = self._phrase(postings, phrase).withColumnRenamed("tf", f"_tf{k}")
-            totals = totals.crossJoin(found.agg(F.count("*").alias(f"_df{k}")))  # one row each
-            hits = found if hits is None else hits.join(found, "did")
-        hits = hits.join(lengths.withColumnRenamed("length", "_length"), "did").crossJoin(F.broadcast(totals))
-        return _scored(hits, len(phrases)).select("did", "rank")
-
-    def _phrase(self, postings: DataFrame, phrase: list[str]) -> DataFrame:
-        def of(word: str) -> DataFrame:
-            # bucket and term both prune: folders by the first, row groups by the second
-            return postings.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(word)), F.lit(self.BUCKETS)).cast("int")) & (F.col("term") == word))
-
-        starts = of(phrase[0]).select("did", "places")
-        for k, word in enumerate(phrase[1:], 1):
-            other = of(word).select("did", F.col("places").alias("next"))
-            starts = starts.join(other, "did").select("did", _shifted("places", "next", k).alias("places"))
-        return starts.where(F.size("places") > 0).select("did", F.size("places").cast("long").alias("tf"))
-
-
-def _shifted(places: str, following: str, by: int) -> Column:
-    """Those places that have ``following`` ``by`` tokens later."""
-    return F.array_intersect(F.col(places), F.transform(following, lambda p: p - F.lit(by)))
-
-
 def idf(documents: int, holding: int) -> float:
     return max(math.log((documents - holding + 0.5) / (holding + 0.5)), LEAST_IDF)
 

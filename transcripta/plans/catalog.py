@@ -35,15 +35,14 @@ def _registered(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import transcripts  # registers its queries
+    from . import search_index, transcripts, upkeep  # noqa: F401  they register their queries
 
-    return dict(transcripts.QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import transcripts
-
-    return dict(transcripts.SQL)
+    queries()
+    return dict(SQL)
 
 
 # Search. A document's number is its id, its agent its source; every tenth has no time.
@@ -60,7 +59,7 @@ def _hits(rows: DataFrame) -> DataFrame:
     return rows.select("did", "agent_id", "started_at", F.round("rank", 9).alias("rank"))
 
 
-def _search_sql(phrases: list[str], where: str = "true", order: str = "rank, started_at desc nulls last, did", limit: int = 50) -> str:
+def _search_sql(phrases: list[str], where: str = "true", order: str = "rank, started_at desc nulls last, did", limit: int = 50, text: str = "text", documents: str = "documents") -> str:
     counts = []
     for k, phrase in enumerate(phrases):
         words = phrase.split()
@@ -72,7 +71,7 @@ def _search_sql(phrases: list[str], where: str = "true", order: str = "rank, sta
     score = " + ".join(f"greatest(ln((n - df{k} + 0.5) / (df{k} + 0.5)), 1e-6) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * dl / av))" for k in range(len(phrases)))
     held = " and ".join(f"tf{k} > 0" for k in range(len(phrases)))
     return f"""
-with d as (select doc_id did, source agent_id, {_TIME} started_at, lang, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') w from documents),
+with d as (select doc_id did, source agent_id, {_TIME} started_at, lang, regexp_extract_all(strip_accents(lower(coalesce({text}, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') w from {documents}),
 c as (select did, agent_id, started_at, lang, len(w) dl, {", ".join(counts)} from d),
 s as (select count(*) n, avg(dl) av, {", ".join(f"count(*) filter (tf{k} > 0) df{k}" for k in range(len(phrases)))} from c),
 r as (select did, agent_id, started_at, lang, -({score}) rank from c, s where {held})
@@ -133,6 +132,58 @@ def search_next_page(spark, sf_dir):
     return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["with"]), "newest", cursor=cursor))
 
 
+# Other scripts: the documents' Latin letters stand for Cyrillic ones, syllables of Hangul, and kana with voice marks.
+
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_SCRIPTS = {"cyrillic": "абцдёфгхийклмнопярстувшщыз", "hangul": "가나다라마바사아자차카타파하거너더러머버서어저처커터", "kana": "あばかだえふがはいじきるむんおぷくらさたうゔわしよず"}
+
+
+def _written_in(spark: SparkSession, sf_dir: str, script: str) -> DataFrame:
+    return _documents(spark, sf_dir).withColumn("text", F.translate(F.lower("text"), _LATIN, _SCRIPTS[script]))
+
+
+def _script_sql(script: str, term: str) -> str:
+    return _search_sql([search.phrase_of(term.translate(str.maketrans(_LATIN, _SCRIPTS[script])))[0]], text=f"translate(lower(text), '{_LATIN}', '{_SCRIPTS[script]}')")
+
+
+@_registered(_search_sql(["fur", "den"]))
+def search_accented(spark, sf_dir):
+    return _hits(search.page(search.ranked(_documents(spark, sf_dir), ["FÜR", "dèn"])))
+
+
+@_registered(_script_sql("cyrillic", "are"))
+def search_cyrillic(spark, sf_dir):
+    return _hits(search.page(search.ranked(_written_in(spark, sf_dir, "cyrillic"), ["АРЁ"])))
+
+
+@_registered(_script_sql("hangul", "are"))
+def search_hangul(spark, sf_dir):
+    return _hits(search.page(search.ranked(_written_in(spark, sf_dir, "hangul"), ["가러마"])))
+
+
+@_registered(_script_sql("kana", "of"))
+def search_kana(spark, sf_dir):
+    return _hits(search.page(search.ranked(_written_in(spark, sf_dir, "kana"), ["おぶ"])))
+
+
+_WINDOW = 12
+
+
+@_registered(f"""
+with hits as ({_search_sql(["with", "that"])}),
+d as (select did, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') w from hits join documents on did = doc_id),
+s as (select did, len(w) n, unnest(range(0, greatest(0, len(w) - {_WINDOW}) + 1)) start, w from d),
+c as (select did, start, list_filter(w[start + 1 : start + {_WINDOW}], lambda x: x in ('with', 'that')) f from s),
+r as (select did, start, len(list_distinct(f)) phrases, len(f) occurrences, row_number() over (partition by did order by len(list_distinct(f)) desc, len(f) desc, start) k from c)
+select did, start, phrases, occurrences from r where k = 1""")
+def search_snippets(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    shown = search.page(search.ranked(docs, ["with", "that"])).select("did")
+    # a page has MOST_HITS rows at most
+    texts = docs.join(F.broadcast(shown), "did")
+    return texts.select("did", search.window_of(F.col("text"), [["with"], ["that"]], _WINDOW).alias("w")).select("did", "w.*")
+
+
 # Browsing
 
 

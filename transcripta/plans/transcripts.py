@@ -1,4 +1,4 @@
-"""Registered queries of the parsers and of the posting index, each with its SQL.
+"""Registered queries of the parsers, each with its SQL.
 
 Conversations are written as transcripts of both vendors: every turn is a record,
 every fourth of another kind (text, call, result, thought), with some broken lines.
@@ -7,17 +7,13 @@ What the parsers make of them is held against what the conversations say.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch_ms
-from ..operators import search
-from ..operators.scratch import checkpoint_root
 from ..operators.transcripts import vendor_a, vendor_b
 from ..sources.transcripts import lines
-from .catalog import QUERIES, SQL, _documents, _registered, _search_sql, _TITLED, table
+from .catalog import QUERIES, SQL, _registered, _TITLED, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -192,29 +188,6 @@ def file_lines(spark, sf_dir):
     return lines(_files(_lines_a(spark, sf_dir))).groupBy("path").agg(F.count("*").alias("n"))
 
 
-# The posting index
-
-
-def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.Index(spark, f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}").build(_documents(spark, sf_dir))
-
-
-def _indexed(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
-    facts = _documents(spark, sf_dir).drop("text")
-    hits = search.page(_index(spark, sf_dir).ranked(terms).join(facts, "did"))
-    return hits.select("did", "agent_id", "started_at", F.round("rank", 9).alias("rank"))
-
-
-@_registered(_search_sql(["with", "that"]))
-def index_search(spark, sf_dir):
-    return _indexed(spark, sf_dir, ["with", "that"])
-
-
-@_registered(_search_sql(["of the", "was"]))
-def index_phrase(spark, sf_dir):
-    return _indexed(spark, sf_dir, ["of-the", "was"])
-
-
 @_registered("select event_id, epoch_ms(date_trunc('second', ts)) ms from events")
 def epoch_ms_utc(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", epoch_ms(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ms"))

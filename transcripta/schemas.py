@@ -34,11 +34,12 @@ TABLES: dict[str, StructType] = {
     "message_part": _schema("id string, message_id string, session_id string, seq bigint, ordinal bigint, kind string, text string, content_json string, searchable boolean, blob_id string, metadata_json string"),
     "tool_call": _schema("id string, session_id string, call_part_id string, result_part_id string, native_call_id string, name string, input_json string, output_text string, is_error boolean, duration_ms bigint"),
     "file_event": _schema("id string, session_id string, segment_id string, tool_call_id string, path string, change_kind string, old_path string, lines_added bigint, lines_removed bigint, patch_text string, patch_blob_id string, source string, event_ts bigint, observed_at bigint"),
-    "git_observation": _schema("id string, session_id string, segment_id string, source string, temporal_confidence string, branch string, commit_sha string, is_detached boolean, is_dirty boolean, remote_url_norm string, observed_at bigint, event_ts bigint, commit_exists boolean"),
+    "git_observation": _schema("id string, session_id string, segment_id string, source string, temporal_confidence string, branch string, commit_sha string, is_detached boolean, is_dirty boolean, remote_url_norm string, observed_at bigint, event_ts bigint, commit_exists boolean, metadata_json string"),
     "secret_finding": _schema("id string, session_id string, source_kind string, source_id string, field string, rule string, span_start bigint, span_end bigint, severity string, value_fingerprint string, disposition string, created_at bigint"),
     "search_document": _schema("did bigint, session_id string, source_kind string, source_id string, field string, ordinal int, text string, started_at bigint, agent_id string"),
     "folder": _schema("id string, name string, position int, created_at bigint, updated_at bigint"),
     "session_folder": _schema("session_id string, folder_id string, created_at bigint"),
+    "ingest_batch": _schema("stream string, batch bigint, changed bigint, ingested bigint, skipped bigint, failed bigint, deleted bigint, linked bigint, finished_at bigint"),
 }
 
 #: The columns that identify a row of each table.
@@ -65,6 +66,7 @@ KEYS: dict[str, list[str]] = {
     "search_document": ["did"],
     "folder": ["id"],
     "session_folder": ["session_id"],
+    "ingest_batch": ["stream", "batch"],
 }
 
 #: Tables whose rows go with their session.
