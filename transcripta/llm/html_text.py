@@ -8,11 +8,15 @@ the page's words, so not in languages that the list lacks, and not in listings a
 tables; there length and links decide.  Other blocks stay ambiguous; the second
 pass gives them the label of their nearest decided neighbours.
 
-What an article or main element decides: blocks inside it are never rejected by
-links or stop words alone, neighbours count only on the same side of its border,
-and where a side has none that is decided, the inside stays, unless text was found
-outside only; the outside goes, unless its middling blocks hold more text than all
-articles do.
+What an article or main element decides: inside it, few stop words alone reject
+nothing, and one short link is ambiguous; blocks of several links, long ones that are
+links, and rows of ``ROW`` links or more are rejected there as elsewhere.  Neighbours
+count only on the same side of its border, and where a side has none that is decided,
+the inside stays, unless text was found outside only; the outside goes, unless its
+middling blocks hold more text than all articles do.
+
+A mark of layout (a sidebar, a header) on a wrapper of an article is none, unless
+another article stands outside such wrappers.  Inside articles, header names are none.
 
 Null, empty and textless pages give an empty text.  Unclosed and stray tags are
 repaired by nesting; an unclosed comment or script runs to the end of the page.
@@ -38,7 +42,7 @@ from .shared import tidy
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^<>]*>",
@@ -59,6 +63,8 @@ _FURNITURE = frozenset("head nav footer aside form button menu dialog title fiel
 _ARTICLE = frozenset({"article", "main"})
 _UNMARKED = _ARTICLE | {"html", "body"}
 _LISTINGS = frozenset({"pre", "table"})
+_HEADERS = frozenset({"header", "masthead"})
+_LAYOUT = _HEADERS | frozenset("sidebar sidebars aside banner nav navbar navigation navigations menu menus widget widgets toolbar".split())
 
 # Parts of class, id and role names that mark furniture.
 _MARKS = frozenset(
@@ -82,6 +88,8 @@ STOP_WORDS = frozenset(
 SHORT = 70
 LONG = 200
 LINKS = 0.5
+SOME_LINKS = 0.25
+ROW = 3
 FEW_STOPS = 0.12
 MANY_STOPS = 0.25
 
@@ -94,6 +102,8 @@ class Block:
     linked: int
     article: bool
     listing: bool = False
+    anchors: int = 0
+    lifted: bool = False  # its article stands inside a wrapper marked as layout
 
     def link_density(self) -> float:
         return self.linked / len(self.text)
@@ -103,14 +113,15 @@ class Block:
         return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _marked(attributes: str) -> bool:
-    """Whether a class, id or role is a mark, or made of marks and ``_PLACES`` only."""
+def _marks(attributes: str) -> set[str]:
+    """The marks among a class, id or role; names count that are made of marks and ``_PLACES`` only."""
+    out: set[str] = set()
     for m in _NAMED.finditer(attributes):
         for token in m[m.lastindex].lower().split():
             parts = {p for p in re.split(r"[^a-z]+", token) if p}
-            if not _MARKS.isdisjoint(parts) and parts <= _MARKS | _PLACES:
-                return True
-    return False
+            if parts <= _MARKS | _PLACES:
+                out |= parts & _MARKS
+    return out
 
 
 @dataclass(frozen=True)
@@ -121,6 +132,8 @@ class _Open:
     furniture: bool = False
     article: bool = False
     framed: bool = False  # inside an element that is furniture by its name
+    layout: bool = False  # furniture by marks of layout alone
+    lifted: bool = False
     links: int = 0
     listings: int = 0
     block: int = -1  # where the innermost block that is no paragraph stands
@@ -169,16 +182,16 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack = _Stack()
     parts: list[str] = []
-    linked = 0
+    linked = anchors = 0
 
     def ended() -> None:
-        nonlocal linked
+        nonlocal linked, anchors
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, min(linked, len(text)), stack.top().article, stack.top().listings > 0))
+                blocks.append(Block(text, min(linked, len(text)), stack.top().article, stack.top().listings > 0, anchors, stack.top().lifted))
             parts.clear()
-        linked = 0
+        linked = anchors = 0
 
     def told(raw: str) -> None:
         nonlocal linked
@@ -211,22 +224,34 @@ def page_blocks(page: str) -> list[Block]:
         stack.begin(name)
         top = stack.top()
         frame = name in _FURNITURE or name == "header"
-        own = name in _FURNITURE or name == "header" and not top.article or name not in _UNMARKED and bool(m["attributes"].strip()) and _marked(m["attributes"])
+        marks = _marks(m["attributes"]) if name not in _UNMARKED and m["attributes"].strip() else set()
+        if top.article:
+            marks -= _HEADERS
+        framing = name in _FURNITURE or name == "header" and not top.article
+        own = framing or bool(marks)
         if m["attributes"].rstrip().endswith("/") and name not in _BLOCKS:
             continue
-        # a mark on a wrapper of the main element is none
-        lifted = name == "main" and not top.framed
+        # a mark on a wrapper of the main element is none; one of layout may be none on a wrapper of an article
+        lifted = name in _ARTICLE and top.layout and not top.framed
+        freed = name == "main" and not top.framed or lifted
+        layout = not framing and marks <= _LAYOUT and (top.layout or not top.furniture) if own else top.layout and not freed
         block = len(stack.items) if name in _BLOCKS and name != "p" else top.block
-        stack.push(_Open(name, top.furniture and not lifted or own, (top.article or name in _ARTICLE) and not own, top.framed or frame, top.links + (name == "a"), top.listings + (name in _LISTINGS), block))
+        if name == "a" and not top.furniture:
+            anchors += 1
+        article = (top.article or name in _ARTICLE) and not own
+        stack.push(_Open(name, top.furniture and not freed or own, article, top.framed or frame, layout, article and (top.lifted or lifted and name != "main"), top.links + (name == "a"), top.listings + (name in _LISTINGS), block))
     told(page[last:])
     ended()
+    if any(b.article and not b.lifted for b in blocks):
+        return [b for b in blocks if not b.lifted]
     return blocks
 
 
 def first_pass(block: Block, covered: bool) -> str:
     """The label of a block; ``covered``: whether stop words tell anything of the page."""
-    if block.link_density() > LINKS:
-        return SHORTISH if block.article else BAD
+    density = block.link_density()
+    if density > LINKS:
+        return SHORTISH if block.article and block.anchors < 2 and len(block.text) < SHORT else BAD
     if len(block.text) < SHORT:
         return SHORTISH
     stops = block.stop_density()
@@ -234,7 +259,18 @@ def first_pass(block: Block, covered: bool) -> str:
         stops = MANY_STOPS
     if stops >= MANY_STOPS:
         return GOOD if len(block.text) >= LONG else MIDDLING
-    return MIDDLING if stops >= FEW_STOPS or block.article else BAD
+    return MIDDLING if stops >= FEW_STOPS or block.article and density <= SOME_LINKS else BAD
+
+
+def rows_of_links(blocks: list[Block], labels: list[str]) -> list[str]:
+    """The labels, with links that follow each other ``ROW`` times or more rejected: lists of other pages."""
+    out, low = list(labels), 0
+    for k in range(len(blocks) + 1):
+        if k == len(blocks) or blocks[k].link_density() <= LINKS:
+            if k - low >= ROW:
+                out[low:k] = [BAD] * (k - low)
+            low = k + 1
+    return out
 
 
 def stop_words_tell(blocks: list[Block]) -> bool:
@@ -277,7 +313,7 @@ def second_pass(labels: list[str]) -> list[bool]:
 def chosen(blocks: list[Block]) -> list[bool]:
     """Which blocks are text, by both passes."""
     covered = stop_words_tell(blocks)
-    labels = [first_pass(b, covered) for b in blocks]
+    labels = rows_of_links(blocks, [first_pass(b, covered) for b in blocks])
     if not any(b.article for b in blocks):
         if set(labels) == {SHORTISH}:
             # nothing to go by: what isn't linked stays
@@ -296,7 +332,7 @@ def chosen(blocks: list[Block]) -> list[bool]:
         if GOOD in side or BAD in side and not article:
             out += second_pass(side)
         elif article:
-            out += [inside_stays] * len(side)
+            out += [inside_stays and label != BAD for label in side]
         else:
             out += [label == MIDDLING and outside > inside for label in side]
     return out
