@@ -34,6 +34,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Of a template's words, so many of highest IDF are its postings.
 POSTED = 6
 LEAST_SCORE = 0.7
+#: Where all documents share a notice, its words weigh alike.
+LEAST_IDF = 0.01
 #: Words around a notice in which its key phrases may stand.
 SLACK = 5
 
@@ -45,6 +47,18 @@ TEMPLATES = (
     ("MIT", "released under the mit license", ("mit license",)),
     ("MIT", "licensed under the mit license", ("mit license",)),
     ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    ("MIT", "spdx license identifier mit", ("spdx license identifier mit",)),
+    ("Apache-2.0", "spdx license identifier apache 2 0", ("identifier apache 2 0",)),
+    ("GPL-2.0", "spdx license identifier gpl 2 0", ("identifier gpl 2 0",)),
+    ("GPL-3.0", "spdx license identifier gpl 3 0", ("identifier gpl 3 0",)),
+    ("LGPL", "spdx license identifier lgpl", ("identifier lgpl",)),
+    ("AGPL-3.0", "spdx license identifier agpl 3 0", ("identifier agpl 3 0",)),
+    ("BSD", "spdx license identifier bsd", ("identifier bsd",)),
+    ("MPL-2.0", "spdx license identifier mpl 2 0", ("identifier mpl 2 0",)),
+    ("ISC", "spdx license identifier isc", ("identifier isc",)),
+    ("GPL-2.0", "under the gnu gpl v2", ("gnu gpl v2",)),
+    ("GPL-3.0", "under the gnu gpl v3", ("gnu gpl v3",)),
+    ("LGPL", "under the gnu lgpl", ("gnu lgpl",)),
     ("Apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("GPL-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     ("GPL-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3")),
@@ -115,8 +129,8 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str,
 
 
 def idf_of(total: int, counts: dict[str, int]) -> dict[str, float]:
-    """ln((N + 1) / (n + 1)) to six places, so that every engine ranks alike."""
-    return {w: round(math.log((total + 1) / (counts.get(w, 0) + 1)), 6) for w in vocabulary()}
+    """ln((N + 1) / (n + 1)) to six places, so that every engine ranks alike; words that every document holds weigh a little, too."""
+    return {w: max(LEAST_IDF, round(math.log((total + 1) / (counts.get(w, 0) + 1)), 6)) for w in vocabulary()}
 
 
 def _postings(idf: dict[str, float]) -> list[tuple[int, str, int, float, float]]:
