@@ -13,8 +13,11 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -141,8 +144,9 @@ def ingested(files: DataFrame, artifacts: DataFrame, states: DataFrame, now: Col
             out[table] = out[table].unionByName(rows) if table in out else rows
     out["agent_session"] = out["agent_session"].unionByName(oversized(parse), allowMissingColumns=True)
     # read by several tables, and parsed once
-    for table in ("agent_session", "message_part", "file_event", "session_segment"):
-        out[table] = settled(out[table], "ingest-parsed")
+    shared = ("agent_session", "message_part", "file_event", "session_segment")
+    with ThreadPoolExecutor(len(shared)) as pool:
+        out |= dict(zip(shared, pool.map(inheritable_thread_target(lambda table: settled(out[table], "ingest-parsed")), shared)))
 
     found, shown = searchable(search_fields(out))
     keys = ("session_id", "source_kind", "source_id", "field")
@@ -198,14 +202,12 @@ def ingest(archive: Archive, files: DataFrame, registry: Registry | None = None,
         links, gone = detached(archive.read("session_source"), rows["session_source"])
         gone = settled(gone, "ingest-gone")
         links = replaced_by_key(links, archive.shaped("session_source", rows["session_source"]), KEYS["session_source"])
-        for table in ("agent", "blob"):
-            archive.merge(table, archive.shaped(table, merged[table]))
+        archive.together([partial(archive.merge, table, archive.shaped(table, merged[table])) for table in ("agent", "blob")])
         archive.write("session_source", links)
         archive.replace_sessions(rows, keep=("session_folder", "session_source"))
         if not gone.isEmpty():
             archive.forget(gone)
-    for table in ("source_artifact_path", "ingest_state", "source_artifact"):
-        archive.merge(table, archive.shaped(table, merged[table]))
+    archive.together([partial(archive.merge, table, archive.shaped(table, merged[table])) for table in ("source_artifact_path", "ingest_state", "source_artifact")])
     return report
 
 

@@ -10,9 +10,14 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
+from typing import TypeVar
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +32,10 @@ from .sequences import latest
 #: A file beside a version's data that Spark's readers pass over.
 CHECKSUM = "_checksum"
 QUARANTINE = "quarantine"
+#: Tables that are written or checked side by side.
+TOGETHER = 4
+
+T = TypeVar("T")
 
 
 def replaced_by_key(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -147,14 +156,21 @@ class Archive:
     def merge(self, table: str, rows: DataFrame) -> None:
         self.write(table, replaced_by_key(self.read(table), rows.select(*TABLES[table].names), KEYS[table]))
 
+    def together(self, work: list[Callable[[], T]]) -> list[T]:
+        """Results of several pieces of work on different tables, as jobs side by side."""
+        with ThreadPoolExecutor(TOGETHER) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(w)) for w in work]]
+
     def replace_sessions(self, tables: dict[str, DataFrame], keep: tuple[str, ...] = ("session_folder",)) -> None:
         """All rows of the sessions in ``tables["agent_session"]`` give way to the new ones; folders stay."""
         sessions = tables["agent_session"].select(F.col("id").alias("session_id"))
-        for name in OF_SESSION:
-            if name not in keep:
-                new = tables.get(name)
-                new = self.spark.createDataFrame([], TABLES[name]) if new is None else self.shaped(name, new)
-                self.write(name, replaced_of_sessions(self.read(name), new, sessions))
+
+        def replace(name: str) -> None:
+            new = tables.get(name)
+            new = self.spark.createDataFrame([], TABLES[name]) if new is None else self.shaped(name, new)
+            self.write(name, replaced_of_sessions(self.read(name), new, sessions))
+
+        self.together([partial(replace, name) for name in OF_SESSION if name not in keep])
         self.merge("agent_session", self.shaped("agent_session", tables["agent_session"]))
 
     def shaped(self, table: str, rows: DataFrame) -> DataFrame:
@@ -172,8 +188,7 @@ class Archive:
         paths = [r.path for r in self.read("source_artifact").join(sources, "id", "left_semi").select("path").distinct().orderBy("path").toLocalIterator()]
         if index is not None:
             index.without(self.read("search_document").join(session_ids, "session_id", "left_semi").select("did"))
-        for name in OF_SESSION:
-            self.write(name, self.read(name).join(session_ids, "session_id", "left_anti"))
+        self.together([partial(self.write, name, self.read(name).join(session_ids, "session_id", "left_anti")) for name in OF_SESSION])
         self.write("agent_session", self.read("agent_session").join(session_ids.withColumnRenamed("session_id", "id"), "id", "left_anti"))
         blobs = self.read("blob")
         gone = orphans(blobs, [self.read("file_event").select("patch_blob_id"), self.read("message_part").select("blob_id")])
@@ -183,9 +198,7 @@ class Archive:
     def forget_all(self, reset_manifest: bool = False) -> None:
         """All content; settings and folders stay, jobs too unless the manifest is reset."""
         stay = {"setting", "folder", "job", "ingest_batch"} - ({"job"} if reset_manifest else set())
-        for name, schema in TABLES.items():
-            if name not in stay:
-                self.write(name, self.spark.createDataFrame([], schema))
+        self.together([partial(self.write, name, self.spark.createDataFrame([], schema)) for name, schema in TABLES.items() if name not in stay])
 
     def purge(self, index: Index | None = None) -> list[str]:
         """Drops every copy that forgotten rows could be read from; returns the names of the backups that went.
@@ -215,16 +228,16 @@ class Archive:
 
     def verify(self, name: str) -> bool:
         """Whether every table of a backup is there and holds what was written."""
-        return all(self.intact(f"{self.path}/backups/{name}/{table}") for table in TABLES)
+        return all(self.together([partial(self.intact, f"{self.path}/backups/{name}/{table}") for table in TABLES]))
 
     def damaged(self) -> list[str]:
         """Tables whose current version isn't what was written, or which have files but no finished version."""
-        out = []
-        for table in TABLES:
+
+        def whole(table: str) -> bool:
             found = self.versions(table)
-            if found and not self.intact(f"{self.path}/{table}/v{found[-1]}") or not found and self._fs.exists(self._folder(table)):
-                out.append(table)
-        return out
+            return self.intact(f"{self.path}/{table}/v{found[-1]}") if found else not self._fs.exists(self._folder(table))
+
+        return [table for table, ok in zip(TABLES, self.together([partial(whole, table) for table in TABLES])) if not ok]
 
     def recover(self) -> Recovery:
         """Looks first: a healthy archive isn't touched.  A damaged one is put aside whole, then the newest intact backup restored."""
@@ -263,8 +276,7 @@ class Archive:
         """A copy of every table's current version; the newest ``keep`` backups stay."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", name):
             raise ValueError("a backup's name is letters, digits, dots, dashes and underscores")
-        for table in TABLES:
-            self._written(self.read(table), f"{self.path}/backups/{name}/{table}")
+        self.together([partial(self._written, self.read(table), f"{self.path}/backups/{name}/{table}") for table in TABLES])
         for old in self.backups()[: -max(1, min(100, keep))]:
             self._fs.delete(self._folder("backups", old), True)
 
@@ -273,8 +285,7 @@ class Archive:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
 
     def restore(self, name: str) -> None:
-        for table, schema in TABLES.items():
-            self.write(table, self.spark.read.schema(schema).parquet(f"{self.path}/backups/{name}/{table}"))
+        self.together([partial(self.write, table, self.spark.read.schema(schema).parquet(f"{self.path}/backups/{name}/{table}")) for table, schema in TABLES.items()])
 
 
 # Folders and settings

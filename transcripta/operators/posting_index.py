@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import settled
+from .scratch import settled, spread
 from .search import K1, B, idf, phrase_of, scored, tokens
 
 GROUP = 128
@@ -187,9 +187,7 @@ class Index:
 
     def _written(self, documents: DataFrame, number: int) -> Segment:
         name = f"{number}-{uuid.uuid4().hex}"
-        cores = self.spark.sparkContext.defaultParallelism
-        if documents.rdd.getNumPartitions() < cores:
-            documents = documents.repartition(cores)
+        documents = spread(documents)
         # cut once: the lengths that order the rows must not cut again
         words = documents.select(F.col("did").cast("long").alias("did"), F.explode(F.array(tokens(F.col("text")))).alias("words")).select("did", "words", F.size("words").alias("length"))
         words = settled(words.sortWithinPartitions("length", "did"), "index-words")

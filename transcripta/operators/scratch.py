@@ -44,6 +44,14 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is a scan of fewer parts, such as one file of one row group."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # dealt out already
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: no lineage, no loss with an executor.
 

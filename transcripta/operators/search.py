@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.cursors import Query, clamp, read_search_cursor, search_cursor
 from ..functions.exprs import after_search, like_prefix
 from ..functions.folding import fold, folded
+from .scratch import settled, spread
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -64,9 +65,10 @@ def ranked(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFra
     if not phrases:
         return docs.select(*others, F.lit(0.0).alias("rank")).limit(0)
     # generators hold filters back: pushed below, they would cut the texts into tokens once more for each phrase
-    words = docs.select(*others, F.explode(F.array(tokens(F.col(text_col)))).alias("_words"))
+    words = spread(docs.select(*others, text_col)).select(*others, F.explode(F.array(tokens(F.col(text_col)))).alias("_words"))
     facts = F.struct(F.size("_words").cast("long").alias("_length"), *(_occurrences("_words", p).alias(f"_tf{k}") for k, p in enumerate(phrases)))
-    counted = words.select(*others, F.inline(F.array(facts)))
+    # totals and hits both read these few numbers, and texts are cut once
+    counted = settled(words.select(*others, F.inline(F.array(facts))), "search-counted")
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(phrases))))
     hits = counted
     for k in range(len(phrases)):

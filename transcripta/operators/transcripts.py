@@ -8,6 +8,9 @@ one job.  Unknown shapes become notes and make a session partial; nothing fails.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -292,7 +295,9 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
     for more in notes[1:]:
         every = every.unionByName(more)
     # lines are parsed for these once, not for each table that is made of them
-    every, messages, calls, outputs, events, heads, segments = (settled(rows, "parsed") for rows in (every, messages, calls, outputs, events, heads, segments))
+    parsed = (every, messages, calls, outputs, events, heads, segments)
+    with ThreadPoolExecutor(len(parsed)) as pool:
+        every, messages, calls, outputs, events, heads, segments = pool.map(inheritable_thread_target(lambda rows: settled(rows, "parsed")), parsed)
     noted = every.groupBy(*KEY).agg(F.count("*").alias("n"), F.min_by("note", "line_no").alias("first"))
     noted = noted.select(*KEY, F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" parser note(s); first: "), "first")).alias("parse_note"))
     repeated_calls = calls.groupBy(*KEY, "native_call_id").count().where("count > 1").select(*KEY)
