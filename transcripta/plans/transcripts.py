@@ -7,10 +7,16 @@ What the parsers make of them is held against what the conversations say.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch_ms
+from ..operators.enrichment import enrich
+from ..operators.ingest import ingest
+from ..operators.lifecycle import Archive
+from ..operators.scratch import checkpoint_root, settled
 from ..operators.transcripts import vendor_a, vendor_b
 from ..sources.transcripts import lines
 from .catalog import QUERIES, SQL, _registered, _TITLED, table
@@ -191,3 +197,26 @@ def file_lines(spark, sf_dir):
 @_registered("select event_id, epoch_ms(date_trunc('second', ts)) ms from events")
 def epoch_ms_utc(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", epoch_ms(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ms"))
+
+
+# The composed ingest
+
+
+@_registered(f"""with {_T} select 'a-' || conv_id native, count(*) messages, count(*) + count(*) filter (k = 1) parts, count(*) filter (k = 1) calls, count(*) filter (rn = 0) linked, 'ok' state from t group by conv_id""")
+def composed_ingest(spark, sf_dir):
+    """Conversations as files into an archive, twice, the second time to no effect; then enrichment of one folder's segments."""
+    archive = Archive(spark, f"{checkpoint_root(spark)}/archive-{uuid.uuid4().hex}")
+    files = settled(_files(_lines_a(spark, sf_dir)), "ingest-files")
+    ingest(archive, files)
+    ingest(archive, files)
+    texts = {"cwd": "/w/0", "common_dir": "/w/0/.git", "workdir": "/w/0", "branch": "main", "head": "c"}
+    flags = {"detached": False, "dirty": False, "truncated": False}
+    facts = spark.range(1).select(*(F.lit(v).alias(k) for k, v in {**texts, **flags}.items()), *(F.array(F.lit(k)).alias(k) for k in ("remotes", "roots")))
+    enrich(archive, facts, F.lit(0).cast("long"))
+    counts = [archive.read(table).groupBy("session_id").agg(F.count("*").alias(name)) for table, name in (("message", "messages"), ("message_part", "parts"), ("tool_call", "calls"))]
+    linked = archive.read("session_segment").groupBy("session_id").agg(F.count("repository_id").alias("linked"))
+    states = archive.read("session_source").join(archive.read("ingest_state"), "source_artifact_id").select("session_id", F.col("status").alias("state"))
+    rows = archive.read("agent_session").select(F.col("id").alias("session_id"), F.col("native_session_id").alias("native")).join(linked, "session_id").join(states, "session_id")
+    for count in counts:
+        rows = rows.join(count, "session_id", "left")
+    return rows.select("native", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("messages", "parts", "calls")), "linked", "state")
