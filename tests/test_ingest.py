@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from transcripta.operators import ingest, lifecycle
 from transcripta.schemas import TABLES
-from transcripta.sources.transcripts import discovered, discovery, lines, with_root, without_root
+from transcripta.sources.transcripts import discovered, discovery, installations, lines, with_root, without_root
 
 SECRET = "gh" + "p_" + "a1B2" * 9
 
@@ -55,6 +55,23 @@ def test_roots(spark, folders):
     assert not [r for r in discovery(spark, {"codex": [str(folders[1])]}, disabled=("codex",)).collect() if str(folders[1]) in r.path]
 
 
+def test_installations(spark, folders, tmp_path):
+    (tmp_path / "empty").mkdir()
+    got = installations(spark, {"claude-code": [str(folders[0]), "/not/there"], "codex": [f"{tmp_path}/empty/"]}).collect()
+    assert {(r.agent_id, r.root, r.there, r.files, r.newest is not None) for r in got} == {("claude-code", str(folders[0]), True, 4, True), ("claude-code", "/not/there", False, 0, False), ("codex", f"{tmp_path}/empty", True, 0, False)}
+
+
+def test_two_files_of_one_content_are_two_artifacts(spark):
+    artifacts = spark.createDataFrame([("sa_1", "codex", "/old", "f1", 10, 0, "p", "h", 2, "active", 5)], TABLES["source_artifact"])
+    states = spark.createDataFrame([("sa_1", "1", 0, 0, "ok", None, 0)], TABLES["ingest_state"])
+    manifest = "agent_id string, path string, native_file_id string, full_hash string"
+    both = spark.createDataFrame([("codex", "/b", "f1", "h"), ("codex", "/a", "f1", "h")], manifest)
+    assert {r.path: r.known.id if r.known else None for r in ingest.found_sources(both, artifacts, states).collect()} == {"/a": "sa_1", "/b": None}
+    # a file that is still at its place hasn't moved
+    copied = both.unionByName(spark.createDataFrame([("codex", "/old", "f1", "h")], manifest))
+    assert {r.path: r.known.id if r.known else None for r in ingest.found_sources(copied, artifacts, states).collect()} == {"/a": None, "/b": None, "/old": "sa_1"}
+
+
 def test_many_lines_of_one_file(spark):
     content = b"\n".join(b"line %d" % k for k in range(60_000))
     files = spark.createDataFrame([("codex", "p", len(content), content)], "agent_id string, path string, length bigint, content binary")

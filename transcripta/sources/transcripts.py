@@ -41,6 +41,24 @@ def discovery(spark: SparkSession, roots: dict[str, list[str]] | None = None, di
     return spark.createDataFrame([], "agent_id string, path string, modificationTime timestamp, length bigint, content binary") if found is None else found.dropDuplicates(["agent_id", "path"])
 
 
+def installations(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
+    """(agent_id, root, there, files, newest) of each root: whether it exists, and what transcripts lie below it."""
+    rows = [(agent, root.rstrip("/")) for agent, places in sorted(roots.items()) for root in places]
+    places = spark.createDataFrame(rows, "agent_id string, root string")
+    found = None
+    for agent, root in rows:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            # names and times alone are listed
+            files = discovered(spark, agent, [root]).select("agent_id", F.lit(root).alias("root"), "modificationTime")
+            counted = files.groupBy("agent_id", "root").agg(F.count("*").alias("files"), F.max("modificationTime").alias("newest"))
+            one = spark.createDataFrame([(agent, root, True)], "agent_id string, root string, there boolean").join(counted, ["agent_id", "root"], "left")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = places.limit(0).select("*", F.lit(True).alias("there"), F.lit(0).cast("long").alias("files"), F.lit(None).cast("timestamp").alias("newest"))
+    return places.join(found, ["agent_id", "root"], "left").select("agent_id", "root", F.coalesce("there", F.lit(False)).alias("there"), F.coalesce("files", F.lit(0)).alias("files"), "newest")
+
+
 def with_root(roots: list[str], path: str) -> list[str]:
     """``roots`` and one more: absolute, each once, at most MOST_ROOTS."""
     if not path.startswith("/") and "://" not in path:
