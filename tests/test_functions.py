@@ -20,6 +20,17 @@ def test_remotes(spark):
     assert got == ["host.example/o/r", "host/o/r", "host:8443/o/r", "host/o", "host", None, None, None]
 
 
+def test_a_hash_works_its_text_out_once(spark):
+    made = spark.range(1).select(exprs.det_id("e", exprs.det_id("r", F.md5(F.col("id").cast("string")))).alias("x"))
+    assert made._jdf.queryExecution().analyzed().toString().count("md5(") == 1
+    assert values(spark, exprs.fnv1a_hex, "", "a", "é日本\x00x", None) == ["cbf29ce484222325", "af63dc4c8601ec8c", "f919ce3faeffa89d", None]
+
+
+def test_a_remote_is_trimmed_once(spark):
+    made = spark.range(1).select(exprs.normalized_remote(F.md5(F.col("id").cast("string"))).alias("x"))
+    assert made._jdf.queryExecution().analyzed().toString().count("md5(") == 1
+
+
 def test_times(spark):
     got = values(spark, exprs.epoch_ms, "1970-01-01T00:00:01.2345678Z", " 1970-01-01T01:00:00+01:00 ", "2024-02-30T00:00:00Z", "2026", "1969-12-31T23:59:59.999Z", None)
     assert got == [1234, 0, None, None, -1, None]

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Zero-width characters that names and paths lose.
 ZERO_WIDTH = "\ufeff\u200b\u200c\u200d\u2060"
 _MASK = 0xFFFFFFFF
+#: 0xCBF29CE484222325 as a signed long.
+_FNV_START = 0xCBF29CE484222325 - (1 << 64)
 
 
-def _fnv_over(digits: Column) -> Column:
-    """FNV-1a-64 over a string of hex digits, as two 32-bit halves (no overflow under ANSI)."""
-    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
-    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-
-    def stepped(state: Column, at: Column) -> Column:
-        x = state["lo"].bitwiseXOR(F.conv(digits.substr(at, F.lit(2)), 16, 10).cast("long"))
-        low = x * 435
-        high = state["hi"] * 435 + F.shiftrightunsigned(low, 32) + F.shiftleft(x, 8)
-        return F.struct(high.bitwiseAND(F.lit(_MASK)).alias("hi"), low.bitwiseAND(F.lit(_MASK)).alias("lo"))
-
-    def shown(state: Column) -> Column:
-        return F.lower(F.concat(F.lpad(F.hex(state["hi"]), 8, "0"), F.lpad(F.hex(state["lo"]), 8, "0")))
+def fnv1a_hex(text: Column) -> Column:
+    """FNV-1a-64 of the UTF-8 bytes, as 16 hex digits; null for null.
 
-    return F.aggregate(places, start, stepped, shown)
+    The text stands in the expression once, outside all lambdas: a hash of hashes
+    would otherwise work each inner one out again for every byte of the outer one.
+    """
+    # Latin-1 has one character for each byte; "" splits into one empty string
+    letters = F.filter(F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")
+    values = F.transform(letters, lambda c: F.ascii(c).cast("long"))
 
+    def stepped(state: Column, value: Column) -> Column:
+        # by 32-bit halves, which don't overflow under ANSI; the prime is 2**40 + 435
+        last = state.bitwiseXOR(value).bitwiseAND(F.lit(_MASK))
+        low = last * 435
+        high = F.shiftrightunsigned(state, 32) * 435 + F.shiftrightunsigned(low, 32) + F.shiftleft(last, 8)
+        return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_MASK)))
 
-def fnv1a_hex(text: Column) -> Column:
-    """FNV-1a-64 of the UTF-8 bytes, as 16 hex digits; null for null."""
-    return F.when(text.isNotNull(), _fnv_over(F.hex(F.encode(text, "UTF-8"))))
+    return F.aggregate(values, F.lit(_FNV_START), stepped, lambda state: F.lower(F.lpad(F.hex(state), 16, "0")))
 
 
 def det_id(prefix: str, *parts: Column) -> Column:
@@ -76,18 +78,29 @@ def stem_of(path: Column) -> Column:
     return F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalized_remote(raw: Column) -> Column:
     """host/path of a Git remote, without credentials, default ports and ``.git``; null if none."""
-    url = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    schemed, scp = url.contains("://"), url.contains(":")
-    rest = F.when(schemed, F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)).otherwise(url)
-    by_scp = ~schemed & scp
-    authority = F.when(by_scp, F.regexp_extract(rest, r"(?s)^(.*?):", 1)).otherwise(F.regexp_extract(rest, r"(?s)^([^/]*)", 1))
-    path = F.when(by_scp, F.regexp_extract(rest, r"(?s)^.*?:(.*)$", 1)).otherwise(F.regexp_extract(rest, r"(?s)^[^/]*/(.*)$", 1))
-    host = F.regexp_replace(F.translate(F.regexp_replace(authority, r"(?s)^.*@", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r":(22|80|443|9418)$", "")
-    path = F.regexp_replace(F.regexp_replace(path, r"^/+|/+$", ""), r"\.git$", "")
-    bad = (url == "") | url.rlike(r"[\x00-\x20\x7F]") | (host == "")
-    return F.when(url.isNull() | bad, F.lit(None).cast("string")).when(path == "", host).otherwise(F.concat(host, F.lit("/"), path))
+
+    def cut(url: Column) -> Column:
+        by_scp = ~url.contains("://") & url.contains(":")
+        rest = F.when(url.contains("://"), F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)).otherwise(url)
+        return _once(rest, lambda rest: named(url, F.when(by_scp, F.regexp_extract(rest, r"(?s)^(.*?):", 1)).otherwise(F.regexp_extract(rest, r"(?s)^([^/]*)", 1)), F.when(by_scp, F.regexp_extract(rest, r"(?s)^.*?:(.*)$", 1)).otherwise(F.regexp_extract(rest, r"(?s)^[^/]*/(.*)$", 1))))
+
+    def named(url: Column, authority: Column, path: Column) -> Column:
+        host = F.regexp_replace(ascii_lower(F.regexp_replace(authority, r"(?s)^.*@", "")), r":(22|80|443|9418)$", "")
+        path = F.regexp_replace(F.regexp_replace(path, r"^/+|/+$", ""), r"\.git$", "")
+        return _once(F.struct(host.alias("host"), path.alias("path")), lambda x: shown(url, x["host"], x["path"]))
+
+    def shown(url: Column, host: Column, path: Column) -> Column:
+        bad = (url == "") | url.rlike(r"[\x00-\x20\x7F]") | (host == "")
+        return F.when(url.isNull() | bad, F.lit(None).cast("string")).when(path == "", host).otherwise(F.concat(host, F.lit("/"), path))
+
+    return _once(F.regexp_replace(raw, r"^\s+|\s+$", ""), cut)
 
 
 # Openings of texts that agents insert, not users.
