@@ -124,3 +124,11 @@ def test_a_second_writer_of_the_same_change_fails(spark, index):
     index.build(frame(spark, [(1, "a")]))
     with pytest.raises(RuntimeError):
         index._commit([], 1)
+
+
+def test_a_page_of_rounded_ranks_has_all_that_tie(spark, index, monkeypatch):
+    monkeypatch.setattr(posting_index, "FIRST_GROUPS", 1)
+    index.build(frame(spark, drawn(0, 2000, 9)))
+    full = sorted((round(r["rank"], 1), r.did) for r in index.ranked(["often"]).collect())
+    best = sorted((r["rank"], r.did) for r in index.best(["often"], 20, digits=1).collect())
+    assert {x for x in full if x[0] <= full[19][0]} <= set(best)

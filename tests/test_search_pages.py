@@ -83,3 +83,16 @@ def test_snippets_show_texts_as_they_stand():
     assert search.marked_window("日本が好き", [["日本か好き"]]) == f"{a}日本が好き{b}"
     assert search.marked_window("a b a b a", [["a", "b", "a"]]) == f"{a}a b a{b} {a}b a{b}"
     assert search.marked_window(None, [["a"]]) == "" and search.marked_window("--", [["a"]]) == ""
+
+
+def test_ranks_that_show_alike_tie_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from transcripta.plans import catalog
+
+    rows = [(k, "the " + "word " * (900 + k), "en", "src1", 0) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    theirs = [r[0] for r in db.sql(catalog.oracle_sql()["search_filter_agent"]).fetchall()]
+    assert [r.did for r in catalog.queries()["search_filter_agent"](spark, str(tmp_path)).collect()] == theirs

@@ -311,17 +311,22 @@ class Index:
             starts = starts.join(other, ["group", "did"]).select("group", "did", "len", _followed("places", "next", k).alias("places"))
         return starts.where(F.size("places") > 0).select("did", "len", F.size("places").alias("tf"))
 
-    def best(self, terms: list[str], limit: int, after: float | None = None) -> DataFrame:
+    def best(self, terms: list[str], limit: int, after: float | None = None, digits: int | None = None) -> DataFrame:
         """(did, rank) of hits among which are the ``limit`` best and all that tie with the last of those.
 
-        With ``after``, only hits of that rank or a worse one count.  A phrase's count
-        of documents needs all its places, so phrases are ranked in full.
+        With ``after``, only hits of that rank or a worse one count.  With ``digits``, ranks
+        are rounded to so many decimals, and those that are equal then tie.  A phrase's
+        count of documents needs all its places, so phrases are ranked in full.
         """
+
+        def cut(hits: DataFrame) -> DataFrame:
+            hits = hits.select("did", "rank" if digits is None else F.round("rank", digits).alias("rank"))
+            return hits if after is None else hits.where(F.col("rank") >= after)
+
         phrases = [p for p in map(phrase_of, terms) if p]
         n, mean = self.totals()
         if not phrases or not n or any(len(p) > 1 for p in phrases):
-            hits = self.ranked(terms)
-            return hits if after is None else hits.where(F.col("rank") >= after)
+            return cut(self.ranked(terms))
         words = sorted({p[0] for p in phrases})
         rows = self._rows(words)
         heads = settled(rows.select("term", "group", "n", "most", "span"), "index-heads")
@@ -341,14 +346,14 @@ class Index:
             tf = [F.max(F.when(F.col("term") == p[0], F.col("tf"))).cast("long").alias(f"_tf{k}") for k, p in enumerate(phrases)]
             hits = each.groupBy("did").agg(F.count("*").alias("terms"), F.max("len").cast("long").alias("_length"), *tf).where(F.col("terms") == len(words))
             hits = hits.withColumns({"_n": F.lit(n), "_mean": F.lit(mean), **{f"_df{k}": F.lit(held[p[0]]).cast("long") for k, p in enumerate(phrases)}})
-            hits = scored(hits, len(phrases)).select("did", "rank")
-            return hits if after is None else hits.where(F.col("rank") >= after)
+            return cut(scored(hits, len(phrases)))
 
         found = hits_of(first).orderBy("rank").limit(limit).agg(F.max("rank").alias("last"), F.count("*").alias("n")).first() if first else None
         last = found.last if found and found.n == limit else None
         if last is None:
             return hits_of(bounds.select("group"))
-        wanted = bounds.where(F.col("bound") >= -last).select("group")
+        # a score may have been rounded up to the last one
+        wanted = bounds.where(F.col("bound") >= -last - (0 if digits is None else 10.0**-digits)).select("group")
         # few groups are read by name, which prunes pages; many by a join
         some = [r.group for r in wanted.limit(1001).collect()]
         return hits_of(some if len(some) <= 1000 else wanted).where(F.col("rank") <= last)
