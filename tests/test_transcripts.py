@@ -171,3 +171,20 @@ def test_ids_are_fnv1a(spark):
 
     got = spark.range(1).select(det_id("m", F.lit("s-é"), F.lit(0))).first()[0]
     assert got == plain("m", "s-é", "0")
+
+
+def test_lines_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from transcripta.operators.transcripts import vendor_b
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def raw(x):
+        seen.add(1)
+        return x
+
+    rows = [("codex", "f.jsonl", k, k, '{"type":"response_item","payload":{"type":"message","role":"user","content":"hi"}}') for k in range(3)]
+    made = spark.createDataFrame(rows, "agent_id string, path string, line_no long, byte_offset long, raw string")
+    tables = vendor_b(made.withColumn("raw", F.udf(raw, "string")("raw")))
+    assert tables["message"].count() == 3 and seen.value == 3

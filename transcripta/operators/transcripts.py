@@ -131,7 +131,8 @@ def _block_part(block: Column, at: Column) -> Column:
 
 
 def vendor_a(lines: DataFrame) -> dict[str, DataFrame]:
-    rows = parsed(lines)
+    # some twenty selects read these rows: lines are made and parsed once, not for each
+    rows = settled(parsed(lines), "lines")
     v = F.col("v")
     kept = numbered(rows.where(F.col("type").isin(*KEPT_A)), KEY, ["line_no"])
     content, attachment = _value(v, "$.message.content"), _value(v, "$.attachment")
@@ -151,7 +152,7 @@ def vendor_a(lines: DataFrame) -> dict[str, DataFrame]:
         _int(v, "$.message.usage.input_tokens").alias("input_tokens"), _int(v, "$.message.usage.output_tokens").alias("output_tokens"), _int(v, "$.message.usage.cache_read_input_tokens").alias("cache_tokens"),
         _text(v, "$.message.stop_reason").alias("stop_reason"), F.col("byte_offset").alias("source_offset"), parts.alias("parts"), _text(v, "$.cwd").alias("cwd"), _text(v, "$.gitBranch").alias("git_branch"),
     )
-    messages = islands(messages, KEY, ["seq"], ["cwd", "git_branch"])
+    messages = settled(islands(messages, KEY, ["seq"], ["cwd", "git_branch"]), "parsed")
 
     uses = kept.select(*KEY, "seq", "line_no", F.posexplode(blocks).alias("ordinal", "b"))
     b = F.col("b")
@@ -205,7 +206,7 @@ def vendor_b(lines: DataFrame) -> dict[str, DataFrame]:
     rows = rows.withColumns({"item": item, "ts": epoch_ms(_text(v, "$.timestamp")), "has_payload": _value(v, "$.payload").isNotNull()})
     sets = F.col("type").isin("session_meta", "turn_context")
     rows = rows.withColumns({"cwd": F.when(sets, _text(v, "$.payload.cwd")), "model_set": F.when(F.col("type") == "turn_context", _text(v, "$.payload.model"))})
-    rows = filled(rows, KEY, ["line_no"], ["cwd", "model_set"])
+    rows = settled(filled(rows, KEY, ["line_no"], ["cwd", "model_set"]), "lines")  # as for vendor A
     items = F.col("item").isin("message", "reasoning", *CALLS_B, *OUTPUTS_B)
     is_item = (F.col("type") == "response_item") & F.col("has_payload")
     compaction = (F.col("type") == "compacted") | ((F.col("type") == "event_msg") & (F.col("item") == "context_compacted"))
@@ -234,7 +235,7 @@ def vendor_b(lines: DataFrame) -> dict[str, DataFrame]:
         *KEY, "seq", "line_no", role.alias("role"), F.when(F.col("is_compaction"), "compaction").otherwise("message").alias("event_kind"), F.lit(False).alias("is_sidechain"), "ts",
         F.when(F.col("item").isin("message", "reasoning") & ~F.col("is_compaction"), F.col("model_set")).alias("model"), F.col("byte_offset").alias("source_offset"), parts.alias("parts"), "cwd", F.col("model_set").alias("context_model"),
     ).withColumns(none)
-    messages = islands(messages, KEY, ["seq"], ["cwd", "context_model"])
+    messages = settled(islands(messages, KEY, ["seq"], ["cwd", "context_model"]), "parsed")
 
     tools = kept.where(~F.col("is_compaction") & F.col("item").isin(*CALLS_B, *OUTPUTS_B)).withColumn("native_call_id", _text(v, "$.payload.call_id"))
     named = tools.where("native_call_id is not null")
@@ -295,9 +296,9 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
     for more in notes[1:]:
         every = every.unionByName(more)
     # lines are parsed for these once, not for each table that is made of them
-    parsed = (every, messages, calls, outputs, events, heads, segments)
+    parsed = (every, calls, outputs, events, heads, segments)
     with ThreadPoolExecutor(len(parsed)) as pool:
-        every, messages, calls, outputs, events, heads, segments = pool.map(inheritable_thread_target(lambda rows: settled(rows, "parsed")), parsed)
+        every, calls, outputs, events, heads, segments = pool.map(inheritable_thread_target(lambda rows: settled(rows, "parsed")), parsed)
     noted = every.groupBy(*KEY).agg(F.count("*").alias("n"), F.min_by("note", "line_no").alias("first"))
     noted = noted.select(*KEY, F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" parser note(s); first: "), "first")).alias("parse_note"))
     repeated_calls = calls.groupBy(*KEY, "native_call_id").count().where("count > 1").select(*KEY)
