@@ -188,3 +188,17 @@ def test_lines_are_made_once(spark):
     made = spark.createDataFrame(rows, "agent_id string, path string, line_no long, byte_offset long, raw string")
     tables = vendor_b(made.withColumn("raw", F.udf(raw, "string")("raw")))
     assert tables["message"].count() == 3 and seen.value == 3
+
+
+@pytest.mark.parametrize("agent", ["claude-code", "codex"])
+def test_only_lines_sessions_and_their_keys_are_settled(spark, agent):
+    from transcripta.operators import scratch
+    from transcripta.plans import transcripts as plans
+
+    made_lines, vendor = (plans._lines_a, t.vendor_a) if agent == "claude-code" else (plans._lines_b, t.vendor_b)
+    with scratch.noted() as made:
+        tables = vendor(made_lines(spark, "/root/testdata/sf0.001"))
+    assert len(made) == 3
+    # raw lines aren't kept beside what was parsed of them, and the notes of all kinds read them a few times only
+    assert "raw" not in spark.read.parquet(made[0]).columns
+    assert tables["notes"]._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 5

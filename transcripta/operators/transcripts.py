@@ -8,15 +8,12 @@ one job.  Unknown shapes become notes and make a session partial; nothing fails.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bounded, det_id, diff_counts, epoch_ms, sanitized_path, stem_of, sum_or_null, title_of
 from .scratch import settled
-from .sequences import filled, first_there, island_bounds, islands, numbered, paired, saturating_sum
+from .sequences import filled, first_there, island_bounds, numbered, paired, saturating_sum
 
 # The records of both formats.
 KEPT_A = ("user", "assistant", "system", "attachment", "summary", "mode", "pr-link")
@@ -85,14 +82,35 @@ def _block_texts(blocks: Column) -> Column:
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with their record ``v``, null where a line is no JSON object."""
     record = F.try_parse_json("raw")
-    rows = lines.withColumn("v", record)
+    rows = lines.withColumn("v", record).drop("raw")
     return rows.withColumn("v", F.when(F.coalesce(_type(F.col("v")).startswith("OBJECT"), F.lit(False)), F.col("v"))).withColumn("type", F.coalesce(_text(F.col("v"), "$.type"), F.lit("")))
 
 
+def _sequenced(rows: DataFrame, kept: Column, context: list[str]) -> DataFrame:
+    """Rows with the number ("seq") of each kept one in its file, and of its run of equal context; null for others.
+
+    In the order of lines, so that rows that are parsed already need no shuffle for it.
+    """
+    ordered = Window.partitionBy(*KEY).orderBy("line_no")
+    so_far, before = (ordered.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    rows = rows.withColumn("_own", F.when(kept, F.struct(*context)))
+    rows = rows.withColumns({"_last": F.last("_own", ignorenulls=True).over(before), "_seq": F.count("_own").over(so_far) - 1})
+    fresh = F.col("_own").isNotNull() & ~F.col("_own").eqNullSafe(F.col("_last"))
+    rows = rows.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(so_far) - 1)
+    held = F.col("_own").isNotNull()
+    return rows.withColumns({"seq": F.when(held, F.col("_seq")), "segment_ix": F.when(held, F.col("_run"))}).drop("_own", "_last", "_seq", "_fresh", "_run")
+
+
 def _note(rows: DataFrame, message: Column) -> DataFrame:
     return rows.select(*KEY, "line_no", message.alias("note"))
 
 
+def _notes(rows: DataFrame, cases: list[tuple[Column, str | Column]]) -> DataFrame:
+    """The messages of all conditions that a row meets, in one pass."""
+    found = F.array(*(F.when(met, F.lit(message) if isinstance(message, str) else message) for met, message in cases))
+    return rows.select(*KEY, "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("note"))
+
+
 def _part(ordinal: Column, kind: str | Column, text: Column | None = None, content_json: Column | None = None, searchable: bool = False, metadata: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(ordinal.cast("long").alias("ordinal"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (none if text is None else text).alias("text"), (none if content_json is None else content_json).alias("content_json"), F.lit(searchable).alias("searchable"), (none if metadata is None else metadata).alias("metadata_json"))
@@ -132,9 +150,10 @@ def _block_part(block: Column, at: Column) -> Column:
 
 def vendor_a(lines: DataFrame) -> dict[str, DataFrame]:
     # some twenty selects read these rows: lines are made and parsed once, not for each
-    rows = settled(parsed(lines), "lines")
     v = F.col("v")
-    kept = numbered(rows.where(F.col("type").isin(*KEPT_A)), KEY, ["line_no"])
+    rows = parsed(lines).withColumns({"cwd": _text(v, "$.cwd"), "git_branch": _text(v, "$.gitBranch")})
+    rows = settled(_sequenced(rows, F.col("type").isin(*KEPT_A), ["cwd", "git_branch"]), "lines")
+    kept = rows.where("seq is not null")
     content, attachment = _value(v, "$.message.content"), _value(v, "$.attachment")
     given = _text(v, "$.message.role")
     role = F.when(given.isin("assistant", "system", "tool"), given).when(given.isNotNull(), "user").when(F.col("type").isin("assistant", "system"), F.col("type")).when(F.col("type").isin("summary", "mode", "pr-link"), "meta").otherwise("user")
@@ -150,27 +169,31 @@ def vendor_a(lines: DataFrame) -> dict[str, DataFrame]:
         *KEY, "seq", "line_no", _text(v, "$.uuid").alias("native_uuid"), _text(v, "$.parentUuid").alias("parent_native_uuid"), role.alias("role"), kind.alias("event_kind"),
         F.coalesce(_flag(v, "$.isSidechain"), F.lit(False)).alias("is_sidechain"), epoch_ms(_text(v, "$.timestamp")).alias("ts"), _text(v, "$.message.model").alias("model"),
         _int(v, "$.message.usage.input_tokens").alias("input_tokens"), _int(v, "$.message.usage.output_tokens").alias("output_tokens"), _int(v, "$.message.usage.cache_read_input_tokens").alias("cache_tokens"),
-        _text(v, "$.message.stop_reason").alias("stop_reason"), F.col("byte_offset").alias("source_offset"), parts.alias("parts"), _text(v, "$.cwd").alias("cwd"), _text(v, "$.gitBranch").alias("git_branch"),
+        _text(v, "$.message.stop_reason").alias("stop_reason"), F.col("byte_offset").alias("source_offset"), parts.alias("parts"), "cwd", "git_branch", "segment_ix",
     )
-    messages = settled(islands(messages, KEY, ["seq"], ["cwd", "git_branch"]), "parsed")
 
     uses = kept.select(*KEY, "seq", "line_no", F.posexplode(blocks).alias("ordinal", "b"))
     b = F.col("b")
     uses = uses.withColumn("kind", _text(b, "$.type")).where("kind in ('tool_use', 'tool_result')").withColumn("native_call_id", F.when(F.col("kind") == "tool_use", _text(b, "$.id")).otherwise(_text(b, "$.tool_use_id")))
     named = uses.where("native_call_id is not null").withColumn("input", _value(b, "$.input"))
     calls = named.where("kind = 'tool_use'").select(*KEY, "native_call_id", F.coalesce(_text(b, "$.name"), F.lit("")).alias("name"), F.col("seq").alias("call_seq"), F.col("ordinal").cast("long").alias("call_ordinal"), _json(b, "$.input").alias("input_json"), F.col("input").alias("input"))
-    results = paired(named, [*KEY, "native_call_id"], ["seq", "ordinal"], F.col("kind") == "tool_use", F.col("kind") == "tool_result", ["seq", "ordinal"])
+    # what a result says is cut out before its call is looked for
+    said = named.select(*KEY, "line_no", "seq", "ordinal", "kind", "native_call_id", F.when(F.col("kind") == "tool_result", _result_text(b)).alias("output_text"), F.when(F.col("kind") == "tool_result", _flag(b, "$.is_error")).alias("is_error"))
+    results = paired(said, [*KEY, "native_call_id"], ["seq", "ordinal"], F.col("kind") == "tool_use", F.col("kind") == "tool_result", ["seq", "ordinal"])
     # presence, not type, chooses the field: a path that is no text is no event
     chosen = F.coalesce(_value(F.col("input"), "$.file_path"), _value(F.col("input"), "$.notebook_path"), _value(F.col("input"), "$.path"))
     change = F.element_at(F.create_map(*(F.lit(x) for item in EDITING.items() for x in item)), F.col("name"))
     events = calls.select(*KEY, "native_call_id", F.col("call_seq").alias("at"), F.col("call_ordinal").alias("at_2"), sanitized_path(_text(chosen)).alias("file"), change.alias("change_kind"))
     events = events.where("file is not null and change_kind is not null").withColumns({"old_path": F.lit(None).cast("string"), "lines_added": F.lit(None).cast("long"), "lines_removed": F.lit(None).cast("long"), "patch_text": F.lit(None).cast("string"), "source": F.lit("agent_tool_input"), "event_ts": F.lit(None).cast("long")})
-    outputs = results.select(*KEY, "native_call_id", F.col("seq").alias("result_seq"), F.col("ordinal").cast("long").alias("result_ordinal"), _result_text(b).alias("output_text"), _flag(b, "$.is_error").alias("is_error"), F.col("call_seq"), F.col("call_ordinal").cast("long").alias("call_ordinal"))
+    outputs = results.select(*KEY, "native_call_id", F.col("seq").alias("result_seq"), F.col("ordinal").cast("long").alias("result_ordinal"), "output_text", "is_error", F.col("call_seq"), F.col("call_ordinal").cast("long").alias("call_ordinal"))
 
-    unknown = kept.select(*KEY, "line_no", F.explode(F.filter(F.transform(blocks, lambda x: F.when(_text(x).isNull(), F.coalesce(_text(x, "$.type"), F.lit("")))), lambda t: t.isNotNull() & ~t.isin("text", "thinking", "tool_use", "tool_result"))).alias("block"))
+    strange = F.filter(F.transform(blocks, lambda x: F.when(_text(x).isNull(), F.coalesce(_text(x, "$.type"), F.lit("")))), lambda t: t.isNotNull() & ~t.isin("text", "thinking", "tool_use", "tool_result"))
+    unknown = kept.select(*KEY, "line_no", F.explode(strange).alias("block"))
     notes = [
-        _note(rows.where("v is null"), F.lit("unparseable line (possibly truncated)")),
-        _note(rows.where(F.col("v").isNotNull() & ~F.col("type").isin(*KEPT_A, *QUIET_A)), F.concat(F.lit("unhandled event type: "), bounded(F.col("type")))),
+        _notes(rows, [
+            (v.isNull(), "unparseable line (possibly truncated)"),
+            (v.isNotNull() & ~F.col("type").isin(*KEPT_A, *QUIET_A), F.concat(F.lit("unhandled event type: "), bounded(F.col("type")))),
+        ]),
         _note(unknown, F.concat(F.lit("unknown content block: "), bounded(F.col("block")))),
         _note(uses.where("native_call_id is null"), F.when(F.col("kind") == "tool_use", "tool_use without id").otherwise("tool_result without tool_use_id")),
         _note(results.where("call_seq is null"), F.lit("tool_result without matching tool_use")),
@@ -180,7 +203,7 @@ def vendor_a(lines: DataFrame) -> dict[str, DataFrame]:
     heads = heads.select(*KEY, "native_session_id", "agent_version", F.coalesce("custom", "ai").alias("title"))
     bounds = messages.groupBy(*KEY).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), first_there("model", "seq").alias("primary_model"))
     segments = island_bounds(messages, KEY, "seq", ["cwd", "git_branch"]).withColumns({c: F.lit(None).cast("string") for c in ("model", "provider", "git_commit_sha", "git_remote_url")})
-    return _tables(messages, calls.drop("input"), outputs, events, notes, heads.join(bounds, KEY, "left"), segments)
+    return _tables(messages, calls.drop("input"), outputs, events, notes, settled(heads.join(bounds, KEY, "left"), "parsed"), segments)
 
 
 # Vendor B: a linear log
@@ -206,12 +229,13 @@ def vendor_b(lines: DataFrame) -> dict[str, DataFrame]:
     rows = rows.withColumns({"item": item, "ts": epoch_ms(_text(v, "$.timestamp")), "has_payload": _value(v, "$.payload").isNotNull()})
     sets = F.col("type").isin("session_meta", "turn_context")
     rows = rows.withColumns({"cwd": F.when(sets, _text(v, "$.payload.cwd")), "model_set": F.when(F.col("type") == "turn_context", _text(v, "$.payload.model"))})
-    rows = settled(filled(rows, KEY, ["line_no"], ["cwd", "model_set"]), "lines")  # as for vendor A
+    rows = filled(rows, KEY, ["line_no"], ["cwd", "model_set"]).withColumn("context_model", F.col("model_set"))
     items = F.col("item").isin("message", "reasoning", *CALLS_B, *OUTPUTS_B)
     is_item = (F.col("type") == "response_item") & F.col("has_payload")
     compaction = (F.col("type") == "compacted") | ((F.col("type") == "event_msg") & (F.col("item") == "context_compacted"))
-    kept = numbered(rows.where((is_item & items) | compaction), KEY, ["line_no"])
-    kept = kept.withColumn("is_compaction", compaction)
+    rows = rows.withColumns({"is_compaction": compaction, "native_call_id": F.when(is_item & F.col("item").isin(*CALLS_B, *OUTPUTS_B), _text(v, "$.payload.call_id"))})
+    rows = settled(_sequenced(rows, (is_item & items) | compaction, ["cwd", "context_model"]), "lines")  # as for vendor A
+    kept = rows.where("seq is not null")
 
     given = _text(v, "$.payload.role")
     plain = F.when(given.isin("assistant", "system", "tool"), given).otherwise("user")
@@ -233,17 +257,18 @@ def vendor_b(lines: DataFrame) -> dict[str, DataFrame]:
     none = {c: F.lit(None).cast(t) for c, t in (("native_uuid", "string"), ("parent_native_uuid", "string"), ("input_tokens", "long"), ("output_tokens", "long"), ("cache_tokens", "long"), ("stop_reason", "string"))}
     messages = kept.select(
         *KEY, "seq", "line_no", role.alias("role"), F.when(F.col("is_compaction"), "compaction").otherwise("message").alias("event_kind"), F.lit(False).alias("is_sidechain"), "ts",
-        F.when(F.col("item").isin("message", "reasoning") & ~F.col("is_compaction"), F.col("model_set")).alias("model"), F.col("byte_offset").alias("source_offset"), parts.alias("parts"), "cwd", F.col("model_set").alias("context_model"),
+        F.when(F.col("item").isin("message", "reasoning") & ~F.col("is_compaction"), F.col("model_set")).alias("model"), F.col("byte_offset").alias("source_offset"), parts.alias("parts"), "cwd", "context_model", "segment_ix",
     ).withColumns(none)
-    messages = settled(islands(messages, KEY, ["seq"], ["cwd", "context_model"]), "parsed")
 
-    tools = kept.where(~F.col("is_compaction") & F.col("item").isin(*CALLS_B, *OUTPUTS_B)).withColumn("native_call_id", _text(v, "$.payload.call_id"))
+    is_tool = F.col("seq").isNotNull() & ~F.col("is_compaction") & F.col("item").isin(*CALLS_B, *OUTPUTS_B)
+    tools = rows.where(is_tool)
     named = tools.where("native_call_id is not null")
     arguments = F.coalesce(_value(v, "$.payload.arguments"), _value(v, "$.payload.input"))
     calls = named.where(F.col("item").isin(*CALLS_B)).select(*KEY, "native_call_id", F.coalesce(_text(v, "$.payload.name"), F.lit("")).alias("name"), F.col("seq").alias("call_seq"), F.lit(0).cast("long").alias("call_ordinal"), _text_or_json(arguments, "$").alias("input_json"))
-    results = paired(named, [*KEY, "native_call_id"], ["seq"], F.col("item").isin(*CALLS_B), F.col("item").isin(*OUTPUTS_B), ["seq"])
-    status = _text(v, "$.payload.status")
-    outputs = results.select(*KEY, "native_call_id", F.col("seq").alias("result_seq"), F.lit(0).cast("long").alias("result_ordinal"), output.alias("output_text"), F.when(status.isNotNull(), ~status.isin("completed", "success", "ok")).alias("is_error"), "call_seq", F.lit(0).cast("long").alias("call_ordinal"))
+    status = F.when(F.col("item").isin(*OUTPUTS_B), _text(v, "$.payload.status"))
+    said = named.select(*KEY, "line_no", "seq", "item", "native_call_id", F.when(F.col("item").isin(*OUTPUTS_B), output).alias("output_text"), F.when(status.isNotNull(), ~status.isin("completed", "success", "ok")).alias("is_error"))
+    results = paired(said, [*KEY, "native_call_id"], ["seq"], F.col("item").isin(*CALLS_B), F.col("item").isin(*OUTPUTS_B), ["seq"])
+    outputs = results.select(*KEY, "native_call_id", F.col("seq").alias("result_seq"), F.lit(0).cast("long").alias("result_ordinal"), "output_text", "is_error", "call_seq", F.lit(0).cast("long").alias("call_ordinal"))
 
     patches = rows.where((F.col("type") == "event_msg") & (F.col("item") == "patch_apply_end"))
     # a map of variants has its keys as entries, whatever they hold
@@ -259,25 +284,29 @@ def vendor_b(lines: DataFrame) -> dict[str, DataFrame]:
 
     shapeless = changes.where(F.coalesce(_text(change, "$.type"), _text(change, "$.move_path"), _text(change, "$.unified_diff"), _text(change, "$.content")).isNull())
     notes = [
-        _note(rows.where("v is null"), F.lit("unparseable line (possibly truncated)")),
-        _note(rows.where(F.col("v").isNotNull() & ~F.col("type").isin(*RECORDS_B)), F.concat(F.lit("unknown record type: "), bounded(F.col("type")))),
-        _note(rows.where(is_item & ~items & ~F.col("item").isin(*QUIET_ITEMS_B)), F.concat(F.lit("unknown response_item: "), bounded(F.col("item")))),
-        _note(rows.where((F.col("type") == "event_msg") & F.col("has_payload") & ~F.col("item").isin(*QUIET_EVENTS_B)), F.concat(F.lit("unknown event_msg: "), bounded(F.col("item")))),
-        _note(tools.where("native_call_id is null"), F.when(F.col("item").isin(*CALLS_B), "tool call without call_id").otherwise("tool output without call_id")),
+        _notes(rows, [
+            (v.isNull(), "unparseable line (possibly truncated)"),
+            (v.isNotNull() & ~F.col("type").isin(*RECORDS_B), F.concat(F.lit("unknown record type: "), bounded(F.col("type")))),
+            (is_item & ~items & ~F.col("item").isin(*QUIET_ITEMS_B), F.concat(F.lit("unknown response_item: "), bounded(F.col("item")))),
+            ((F.col("type") == "event_msg") & F.col("has_payload") & ~F.col("item").isin(*QUIET_EVENTS_B), F.concat(F.lit("unknown event_msg: "), bounded(F.col("item")))),
+            (is_tool & F.col("native_call_id").isNull(), F.when(F.col("item").isin(*CALLS_B), "tool call without call_id").otherwise("tool output without call_id")),
+        ]),
         _note(results.where("call_seq is null"), F.lit("tool output without matching call")),
         _note(patches.where(_value(v, "$.payload.changes").isNotNull() & ~_object(v, "$.payload.changes")), F.lit("malformed patch_apply_end changes (not an object)")),
         _note(shapeless, F.lit("unrecognized patch_apply_end change shape")),
     ]
     # a later meta record replaces all of its fields, absent ones too
-    meta = rows.where((F.col("type") == "session_meta") & F.col("has_payload")).select(*KEY, "line_no", F.struct(_text(v, "$.payload.id").alias("native_session_id"), _text(v, "$.payload.cli_version").alias("agent_version"), _text(v, "$.payload.model_provider").alias("provider"), _text(v, "$.payload.git.branch").alias("git_branch"), _text(v, "$.payload.git.commit_hash").alias("git_commit_sha"), _text(v, "$.payload.git.repository_url").alias("git_remote_url")).alias("m"))
-    meta = meta.groupBy(*KEY).agg(F.max_by("m", "line_no").alias("m")).select(*KEY, "m.*")
+    meta = F.when((F.col("type") == "session_meta") & F.col("has_payload"), F.struct(_text(v, "$.payload.id").alias("native_session_id"), _text(v, "$.payload.cli_version").alias("agent_version"), _text(v, "$.payload.model_provider").alias("provider"), _text(v, "$.payload.git.branch").alias("git_branch"), _text(v, "$.payload.git.commit_hash").alias("git_commit_sha"), _text(v, "$.payload.git.repository_url").alias("git_remote_url")))
     info = F.coalesce(_value(v, "$.payload.info.total_token_usage"), _value(v, "$.payload.info"))
     usage = F.struct(F.coalesce(_count(info, "$.input_tokens"), _count(info, "$.input")).alias("input_tokens"), F.coalesce(_count(info, "$.output_tokens"), _count(info, "$.output")).alias("output_tokens"), sum_or_null(_count(info, "$.cached_input_tokens"), _count(info, "$.cache_write_input_tokens")).alias("cache_tokens"))
-    tokens = rows.where((F.col("type") == "event_msg") & (F.col("item") == "token_count")).select(*KEY, "line_no", usage.alias("u")).where("coalesce(u.input_tokens, u.output_tokens, u.cache_tokens) is not null")
-    tokens = tokens.groupBy(*KEY).agg(F.max_by("u", "line_no").alias("u")).select(*KEY, *(F.col(f"u.{c}").alias(f"total_{c}") for c in ("input_tokens", "output_tokens", "cache_tokens")))
-    bounds = rows.groupBy(*KEY).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
-    heads = bounds.join(meta, KEY, "left").join(tokens, KEY, "left").withColumns({"title": F.lit(None).cast("string"), "primary_model": F.lit(None).cast("string")})
-    segments = island_bounds(messages, KEY, "seq", ["cwd", "context_model"]).withColumnRenamed("context_model", "model").join(meta.drop("native_session_id", "agent_version"), KEY, "left")
+    used = F.when((F.col("type") == "event_msg") & (F.col("item") == "token_count"), usage)
+    facts = rows.select(*KEY, "line_no", "ts", meta.alias("m"), used.alias("u"))
+    told = F.when(F.expr("coalesce(u.input_tokens, u.output_tokens, u.cache_tokens) is not null"), F.col("line_no"))
+    heads = facts.groupBy(*KEY).agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), F.max_by("m", F.when(F.col("m").isNotNull(), F.col("line_no"))).alias("m"), F.max_by("u", told).alias("u"))
+    heads = heads.select(*KEY, "started_at", "ended_at", "m.*", *(F.col(f"u.{c}").alias(f"total_{c}") for c in ("input_tokens", "output_tokens", "cache_tokens"))).withColumns({"title": F.lit(None).cast("string"), "primary_model": F.lit(None).cast("string")})
+    heads = settled(heads, "parsed")
+    meta = heads.select(*KEY, "provider", "git_branch", "git_commit_sha", "git_remote_url")
+    segments = island_bounds(messages, KEY, "seq", ["cwd", "context_model"]).withColumnRenamed("context_model", "model").join(meta, KEY, "left")
     first = F.col("segment_ix") == 0
     segments = segments.withColumns({c: F.when(first, F.col(c)) for c in ("git_branch", "git_commit_sha", "git_remote_url")})
     return _tables(messages, calls, outputs, events, notes, heads.drop("provider", "git_branch", "git_commit_sha", "git_remote_url"), segments)
@@ -295,10 +324,6 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
     every = notes[0]
     for more in notes[1:]:
         every = every.unionByName(more)
-    # lines are parsed for these once, not for each table that is made of them
-    parsed = (every, calls, outputs, events, heads, segments)
-    with ThreadPoolExecutor(len(parsed)) as pool:
-        every, calls, outputs, events, heads, segments = pool.map(inheritable_thread_target(lambda rows: settled(rows, "parsed")), parsed)
     noted = every.groupBy(*KEY).agg(F.count("*").alias("n"), F.min_by("note", "line_no").alias("first"))
     noted = noted.select(*KEY, F.when(F.col("n") == 1, F.col("first")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" parser note(s); first: "), "first")).alias("parse_note"))
     repeated_calls = calls.groupBy(*KEY, "native_call_id").count().where("count > 1").select(*KEY)

@@ -39,6 +39,15 @@ def _time(second: str) -> Column:
     return F.concat(F.lit("2026-01-02T03:"), F.lpad((F.col("rn") % 60).cast("string"), 2, "0"), F.lit(f":{second}Z"))
 
 
+def _line(number: Column, raw: Column) -> Column:
+    return F.struct(number.cast("long").alias("line_no"), raw.alias("raw"))
+
+
+def _written(turns: DataFrame, *made: Column) -> DataFrame:
+    """(conv_id, line_no, raw): the lines that each turn makes, null ones left out; turns are read once."""
+    return turns.select("conv_id", F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
+
+
 def _lines_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, none = _quoted(F.col("text")), F.lit("null")
     content = (
@@ -50,11 +59,11 @@ def _lines_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = F.when(F.col("role") == "assistant", F.format_string('{"input_tokens":%d,"output_tokens":%d}', F.length("text"), F.col("rn"))).otherwise(none)
     parent = F.when(F.col("rn") > 0, F.format_string('"u-%d-%d"', F.col("conv_id"), F.col("rn") - 1)).otherwise(none)
     raw = F.format_string('{"type":"%s","uuid":"u-%d-%d","parentUuid":%s,"sessionId":"a-%d","timestamp":"%s","cwd":"/w/%d","gitBranch":"main","message":{"role":"%s","usage":%s,"content":%s}}', "role", "conv_id", "rn", parent, "conv_id", _time("05.250"), F.floor(F.col("rn") / 3), "role", usage, content)
-    turns = _turns(spark, sf_dir)
-    convs = turns.select("conv_id").distinct()
-    rows = turns.select("conv_id", F.col("rn").cast("long").alias("line_no"), raw.alias("raw"))
-    for remainder, of, at, line in ((0, 2, 1 << 20, F.format_string('{"type":"custom-title","customTitle":"Conversation %d"}', "conv_id")), (0, 5, (1 << 20) + 1, F.lit("{broken")), (0, 7, (1 << 20) + 2, F.lit('{"type":"surprise"}'))):
-        rows = rows.unionByName(convs.where(F.col("conv_id") % of == remainder).select("conv_id", F.lit(at).cast("long").alias("line_no"), line.alias("raw")))
+    first, conv = F.col("rn") == 0, F.col("conv_id")
+    title = F.when(first & (conv % 2 == 0), _line(F.lit(1 << 20), F.format_string('{"type":"custom-title","customTitle":"Conversation %d"}', "conv_id")))
+    broken = F.when(first & (conv % 5 == 0), _line(F.lit((1 << 20) + 1), F.lit("{broken")))
+    surprise = F.when(first & (conv % 7 == 0), _line(F.lit((1 << 20) + 2), F.lit('{"type":"surprise"}')))
+    rows = _written(_turns(spark, sf_dir), _line(F.col("rn"), raw), title, broken, surprise)
     return rows.select(F.lit("claude-code").alias("agent_id"), F.format_string("a-%d.jsonl", "conv_id").alias("path"), "line_no", F.col("line_no").alias("byte_offset"), "raw")
 
 
@@ -67,21 +76,17 @@ def _lines_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") == 3, F.format_string('{"type":"reasoning","summary":[{"text":%s}],"encrypted_content":"x"}', text))
         .otherwise(F.format_string('{"type":"message","role":"%s","content":[{"type":"input_text","text":%s}]}', F.col("role"), text))
     )
-    turns = _turns(spark, sf_dir)
+    turns = _turns(spark, sf_dir).withColumn("ends", F.lead("rn").over(Window.partitionBy("conv_id").orderBy("rn")).isNull())
     number = F.col("rn").cast("long") * 3
-
-    def of(rows: DataFrame, at: Column, raw: Column) -> DataFrame:
-        return rows.select(F.lit("codex").alias("agent_id"), F.format_string("rollout-%d.jsonl", "conv_id").alias("path"), at.alias("line_no"), at.alias("byte_offset"), raw.alias("raw"))
-
-    heads = turns.groupBy("conv_id").agg(F.max("rn").alias("rn"))
     meta = F.format_string('{"type":"session_meta","payload":{"id":"b-%d","cwd":"/p","cli_version":"1","model_provider":"prov","git":{"branch":"main","commit_hash":"abc"}}}', "conv_id")
     totals = F.format_string('{"type":"event_msg","payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":%d,"output_tokens":%d,"cached_input_tokens":1}}}}', "conv_id", "rn")
     diff = r"--- a\n+++ b\n-x\n+y\n+z\n"
     patch = F.format_string('{"type":"event_msg","payload":{"type":"patch_apply_end",%s,"changes":{"d/f%d.ts":{"type":"update","unified_diff":"%s"}}}}', call, F.col("rn"), F.lit(diff))
-    rows = of(turns, number + 2, F.format_string('{"type":"response_item","timestamp":"%s","payload":%s}', _time("07"), payload))
-    rows = rows.unionByName(of(turns.where("rn % 3 = 0"), number + 1, F.format_string('{"type":"turn_context","payload":{"model":"m%d"}}', F.floor(F.col("rn") / 3))))
-    rows = rows.unionByName(of(heads, F.lit(0).cast("long"), meta)).unionByName(of(heads, F.lit(1 << 20).cast("long"), totals))
-    return rows.unionByName(of(turns.where("k = 2"), number + 3, patch))
+    item = F.format_string('{"type":"response_item","timestamp":"%s","payload":%s}', _time("07"), payload)
+    context = F.format_string('{"type":"turn_context","payload":{"model":"m%d"}}', F.floor(F.col("rn") / 3))
+    ends = (F.when(F.col("ends"), _line(F.lit(0), meta)), F.when(F.col("ends"), _line(F.lit(1 << 20), totals)))
+    rows = _written(turns, _line(number + 2, item), F.when(F.col("rn") % 3 == 0, _line(number + 1, context)), F.when(F.col("k") == 2, _line(number + 3, patch)), *ends)
+    return rows.select(F.lit("codex").alias("agent_id"), F.format_string("rollout-%d.jsonl", "conv_id").alias("path"), "line_no", F.col("line_no").alias("byte_offset"), "raw")
 
 
 def _of_session(tables: dict[str, DataFrame], name: str) -> DataFrame:
