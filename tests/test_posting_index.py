@@ -132,3 +132,29 @@ def test_a_page_of_rounded_ranks_has_all_that_tie(spark, index, monkeypatch):
     full = sorted((round(r["rank"], 1), r.did) for r in index.ranked(["often"]).collect())
     best = sorted((r["rank"], r.did) for r in index.best(["often"], 20, digits=1).collect())
     assert {x for x in full if x[0] <= full[19][0]} <= set(best)
+
+
+def test_tasks_are_given_one_group_at_a_time(spark, tmp_path, monkeypatch):
+    from transcripta.operators import posting_index
+
+    seen, grouped = f"{tmp_path}/seen", posting_index._grouped
+
+    def watched(batches, number):
+        import uuid
+
+        def passed():
+            for batch in batches:
+                with open(f"{seen}-{batch.num_rows}-{uuid.uuid4().hex}", "w"):
+                    pass
+                yield batch
+
+        yield from grouped(passed(), number)
+
+    monkeypatch.setattr(posting_index, "_grouped", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(k, "a b " * k) for k in range(600)], "did long, text string").coalesce(1)
+    index = posting_index.Index(spark, f"file://{tmp_path}/index").build(docs)
+    sizes = [int(p.name.split("-")[1]) for p in tmp_path.glob("seen-*")]
+    assert sum(sizes) == 600 and max(sizes) <= posting_index.GROUP
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert index.ranked(["a"]).count() == 599

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import settled, spread
+from .scratch import batches_of, settled, spread
 from .search import K1, B, idf, phrase_of, scored, tokens
 
 GROUP = 128
@@ -195,7 +195,9 @@ class Index:
         count = self._counted(name)
         buckets = max(1, min(MOST_BUCKETS, count.documents // BUCKET_DOCUMENTS))
         rows = words.select("did", "words").mapInArrow(partial(_grouped, number=number), _ROWS)
-        self._posted(rows, name, buckets)
+        # a group at a time: rows are sorted by length, so a larger batch would hold a partition's longest texts together
+        with batches_of(self.spark, GROUP):
+            self._posted(rows, name, buckets)
         return Segment(name, number, count.documents, count.length or 0, buckets)
 
     def _counted(self, name: str):
