@@ -286,3 +286,17 @@ def test_word_hashes_tell_long_words_apart():
     ((_, _, whole),) = wordhash.blocks(pa.array(texts), wordhash.SPACED)
     assert one.tolist() == whole.hashes.tolist()
     assert len(set(one.tolist())) == len({w for t in texts for w in t.split()})
+
+
+def test_similar_texts_leave_one_table_of_heads(spark):
+    import os
+
+    from transcripta.llm.jaccard_join import jaccard_components
+    from transcripta.operators.scratch import noted
+
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "quite another text of some words")], "doc_id long, text string")
+    with noted() as made:
+        found = jaccard_components(docs)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+    assert sum(os.path.exists(p.removeprefix("file://")) for p in made if "/heads-" in p) == 1

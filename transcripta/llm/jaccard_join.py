@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scratch import dropped, noted
 from .shared import bitmap, bitmap_holds, components, settled, tidy
 from .wordhash import ALNUM, SPACED, blocks, distinct, mixed, shingles
 
@@ -218,9 +219,11 @@ class _Join:
         """Edges (a, b) between classes, whose components are those of all similar pairs."""
         # most heads hold grams that no other class has: their rows stop here
         several = self._heads().groupBy("gram").agg(F.count("*").alias("seen")).where("seen > 1")
-        heads = settled(self._heads(several), "heads").distinct()
+        with noted() as passing:  # tables that nothing reads any more once their reader is settled
+            heads = settled(self._heads(several), "heads").distinct()
         several = heads.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram")
         shared = settled(heads.join(several, "gram", "left_semi"), "heads")
+        dropped(self.spark, passing)
         # a text that others were changed from has no grams of its own: the class
         # that shares most of its head leads those that it meets
         shares = shared.groupBy("cls").agg(F.count("*").alias("shares"))
@@ -231,11 +234,15 @@ class _Join:
         # a leader that shares little of the head is unlikely to be similar; such a class is left to the pairs below
         led = led.where(F.expr(f"100 * least(n, leader.n) >= {self.percent} * greatest(n, leader.n) and 300 * together >= {100 - self.percent} * n"))
         led = led.groupBy("cls", "n").agg(F.max(F.struct("together", "leader")).alias("best"))
-        stars = settled(self.similar(settled(led.selectExpr("cls a", "best.leader.cls b", "n na", "best.leader.n nb"), "pairs")).select("a", "b"), "stars")
+        with noted() as passing:
+            similar = self.similar(settled(led.selectExpr("cls a", "best.leader.cls b", "n na", "best.leader.n nb"), "pairs")).select("a", "b")
+        stars = settled(similar, "stars")
+        dropped(self.spark, passing)
         whole = components(stars)
 
         heads = shared.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("component"))
-        heads = settled(heads, "heads")
+        with noted() as passing:
+            heads = settled(heads, "heads")
         mixed_grams = heads.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
         heads = heads.join(mixed_grams, "gram", "left_semi")
         # the smaller text of a pair has the shorter head: it must share more of itself
@@ -244,6 +251,7 @@ class _Join:
         two = heads.selectExpr("gram", "cls b", "n nb", "pos pb", "component cb")
         close = f"(na < nb or na = nb and a < b) and 100 * na >= {self.percent} * nb and pa <= na - {needed} and pb <= nb - {needed}"
         met = settled(one.join(two, "gram").where(F.expr(f"ca <> cb and {close}")).select("a", "b", "na", "nb").distinct(), "met")
+        dropped(self.spark, passing)
         # what isn't in the common part of both whole heads lies behind one of them
         whole_heads = shared.groupBy("cls").agg(F.collect_list("gram").alias("grams"))  # a head is a part of one text
         together = met.join(whole_heads.selectExpr("cls a", "grams ga"), "a").join(whole_heads.selectExpr("cls b", "grams gb"), "b").withColumn("together", F.size(F.array_intersect("ga", "gb")))
