@@ -376,6 +376,25 @@ def test_lines_without_blanks_and_of_few_words_find_their_partners(spark):
     assert dropped <= set(range(1, 2 * len(pairs), 2)) and len(dropped) >= 0.99 * len(pairs)
 
 
+def test_no_similar_lines_are_left_out_whatever_their_signatures(spark):
+    rng, grams = random.Random(31), lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    lines = []
+    while len(lines) < 1600:
+        # one changed place in lines of few shingles, more in longer ones, until they are just similar
+        a = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(rng.choice((5, 12, 13, 14, 20, 40))))
+        b = a
+        while True:
+            at = rng.randrange(len(b))
+            c = f"{b[:at]}{rng.choice('qrstuv')}{b[at + 1:]}"
+            if 100 * len(grams(a) & grams(c)) < 80 * len(grams(a) | grams(c)):
+                break
+            b = c
+        if a != b:
+            lines += [a, b]
+    dropped = {r.doc_id for r in line_dedup.dropped_lines(frame(spark, lines)).collect()}
+    assert dropped == set(range(1, len(lines), 2))
+
+
 # 7
 
 
