@@ -202,3 +202,15 @@ def test_only_lines_sessions_and_their_keys_are_settled(spark, agent):
     # raw lines aren't kept beside what was parsed of them, and the notes of all kinds read them a few times only
     assert "raw" not in spark.read.parquet(made[0]).columns
     assert tables["notes"]._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 5
+
+
+def test_sessions_are_named_without_their_counts(spark):
+    from transcripta.operators.transcripts import vendor_b
+
+    raw = ['{"type":"session_meta","payload":{"id":"n-1"}}', '{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"one"}]}}']
+    rows = [("codex", path, k, k, line) for path in ("rollout-1.jsonl", "rollout-2.jsonl") for k, line in enumerate(raw)] + [("codex", "rollout-3.jsonl", 0, 0, raw[1])]
+    tables = vendor_b(spark.createDataFrame(rows, "agent_id string, path string, line_no long, byte_offset long, raw string"))
+    named = tables["native_ids"]
+    assert sorted(map(str, named.collect())) == sorted(str(r) for r in tables["agent_session"].selectExpr("id session_id", "native_session_id").collect())
+    # no aggregate of messages, calls or titles stands behind a name
+    assert "Join" not in named._jdf.queryExecution().optimizedPlan().toString()

@@ -159,7 +159,7 @@ def ingested(files: DataFrame, artifacts: DataFrame, states: DataFrame, now: Col
     links = out["session_source"].join(manifest.select("agent_id", "path", F.col("artifact_id").alias("source_artifact_id")), ["agent_id", "path"])
     broken = out["failures"].select("agent_id", "path", F.lit("source_failed").alias("kind"), "reason")
     return {
-        **{k: v for k, v in out.items() if k not in ("failures", "notes", "session_source")},
+        **{k: v for k, v in out.items() if k not in ("failures", "notes", "session_source", "native_ids")},
         "file_event": out["file_event"].withColumn("patch_blob_id", F.when(F.col("patch_text").isNotNull(), F.concat(F.lit("blob_"), content_hash(F.col("patch_text"))))),
         "agent": agents,
         "blob": blobs,

@@ -319,7 +319,8 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
     """Archive tables with deterministic ids; files that break a key are in ``failures``.
 
     Files of one native session are one session: the last of them by path gives its
-    rows, all are in ``session_source``.
+    rows, all are in ``session_source``.  ``native_ids`` names sessions without the
+    counts and titles that ``agent_session`` is joined from.
     """
     every = notes[0]
     for more in notes[1:]:
@@ -333,7 +334,8 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
     heads = heads.withColumn("session_id", det_id("s", F.col("agent_id"), F.coalesce("native_session_id", "dedupe_key")))
     ends = messages.groupBy(*KEY).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     sources = heads.select(*KEY, "session_id").join(ends, KEY, "left")
-    ids = settled(heads.groupBy("agent_id", "session_id").agg(F.max("path").alias("path")).select(*KEY, "session_id"), "parsed")
+    named = settled(heads.groupBy("agent_id", "session_id").agg(F.max("path").alias("path"), F.max_by("native_session_id", "path").alias("native_session_id")).select(*KEY, "session_id", "native_session_id"), "parsed")
+    ids = named.select(*KEY, "session_id")
     heads = heads.join(ids, [*KEY, "session_id"], "left_semi")
 
     def of_session(rows: DataFrame) -> DataFrame:
@@ -383,6 +385,7 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
         "file_event": file_event,
         "session_segment": segment,
         "session_source": sources,
+        "native_ids": named.select("session_id", "native_session_id"),
         "failures": failures,
         "notes": every,
     }

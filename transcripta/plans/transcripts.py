@@ -91,7 +91,7 @@ def _lines_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _of_session(tables: dict[str, DataFrame], name: str) -> DataFrame:
     """Rows of a table with their session's native id."""
-    return tables[name].join(tables["agent_session"].select(F.col("id").alias("session_id"), F.col("native_session_id").alias("native")), "session_id")
+    return tables[name].join(tables["native_ids"].withColumnRenamed("native_session_id", "native"), "session_id")
 
 
 _T = "t as (select *, rn % 4 k from (select *, row_number() over (partition by conv_id order by turn) - 1 rn from conversations where text is not null))"
