@@ -158,3 +158,29 @@ def test_tasks_are_given_one_group_at_a_time(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 600 and max(sizes) <= posting_index.GROUP
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
     assert index.ranked(["a"]).count() == 599
+
+
+def test_long_documents_make_smaller_groups():
+    import pyarrow as pa
+
+    from transcripta.operators import posting_index
+
+    lengths = [0, 5, *[60_000] * 7, 300_000, 3, *[1] * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lengths))), pa.array([["w"] * n for n in lengths])], names=["did", "words"])
+    cuts = [c.column(0).to_pylist() for c in posting_index._cut(batch)]
+    assert [d for c in cuts for d in c] == list(range(len(lengths)))
+    assert all(len(c) <= posting_index.GROUP and (len(c) == 1 or sum(lengths[d] for d in c) <= posting_index.MOST_WORDS) for c in cuts)
+    assert len(cuts) < 12
+
+
+def test_dead_entries_leave_without_taking_lists_apart(spark, tmp_path):
+    from transcripta.operators.posting_index import Index
+
+    index = Index(spark, str(tmp_path / "i")).build(spark.createDataFrame([(k, "a b" if k % 2 else "b a a") for k in range(300)], "did long, text string"))
+    index.without(spark.range(0, 300, 3).withColumnRenamed("id", "did"))
+    segment = index.segments()[0]
+    rows = index._living(spark.read.parquet(f"{index.path}/segments/{segment.name}/postings").drop("bucket"), segment)
+    assert "collect_list(e" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.term, e.did): (e.tf, list(e.places)) for r in rows.collect() for e in r.entries}
+    assert got == {(t, k): (1, [0 if t == "a" else 1]) if k % 2 else ((2, [1, 2]) if t == "a" else (1, [0])) for t in "ab" for k in range(300) if k % 3}
+    assert all(r.n == len(r.entries) and r.most == max(e.tf for e in r.entries) and r.span == min(e.len / e.tf for e in r.entries) for r in rows.collect())

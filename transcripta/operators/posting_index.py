@@ -29,6 +29,8 @@ from .scratch import batches_of, settled, spread
 from .search import K1, B, idf, phrase_of, scored, tokens
 
 GROUP = 128
+#: Words that are numbered and sorted at once; a longer text is one group.
+MOST_WORDS = 1 << 17
 #: Segments within a factor of TIER in size are of one tier; so many of them are merged.
 TIER = 8
 #: Groups that are scored before the bounds of the others are looked at.
@@ -65,14 +67,23 @@ class Segment:
         return max(0, (max(1, self.left) // 1000).bit_length() // (TIER.bit_length() - 1))
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of GROUP documents, and of fewer if they have more than MOST_WORDS words, so that long ones don't add up."""
+    ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+    low, before = 0, 0
+    while low < batch.num_rows:
+        high = min(low + GROUP, max(low + 1, int(np.searchsorted(ends, before + MOST_WORDS, side="right"))))
+        yield batch.slice(low, high - low)
+        low, before = high, ends[high - 1]
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
     """Posting rows (group, term, n, most, span, entries) of (did, words) rows, GROUP documents at a time."""
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for low in range(0, batch.num_rows, GROUP):
-            rows = batch.slice(low, GROUP)
+        for rows in _cut(batch):
             words = rows.column(1)
             sizes = np.diff(words.offsets.to_numpy())
             coded = words.flatten().dictionary_encode()
@@ -260,10 +271,18 @@ class Index:
         return Segment(name, number, count.documents, count.length or 0, buckets)
 
     def _living(self, postings: DataFrame, segment: Segment) -> DataFrame:
-        """Posting rows without their dead entries, counted and bounded anew."""
-        each = postings.select("term", "group", F.explode("entries").alias("e")).join(self._dead(segment).select(F.col("did").alias("dead")), F.col("e.did") == F.col("dead"), "left_anti")
+        """Posting rows without their dead entries, counted and bounded anew.
+
+        Rows keep their groups and stay whole: only the numbers in a group meet the dead.
+        """
+        dead = self._dead(segment).select("did")
+        held = postings.select("group", F.explode("entries.did").alias("did")).distinct()
         # a group has GROUP documents at most
-        rows = each.groupBy("term", "group").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+        gone = held.join(dead, "did", "left_semi").groupBy("group").agg(F.collect_list("did").alias("gone"))
+        rows = postings.join(gone, "group", "left")
+        left = F.when(F.col("gone").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("gone", e["did"])))
+        # a generator holds the filter back, which would look once for each use
+        rows = rows.select("term", "group", F.explode(F.array(left)).alias("entries")).where(F.size("entries") > 0)
         return rows.select("term", "group", F.size("entries").alias("n"), F.array_max("entries.tf").alias("most"), F.array_min(F.transform("entries", lambda e: e["len"] / e["tf"])).alias("span"), "entries")
 
     # Reading
