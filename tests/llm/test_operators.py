@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from transcripta.llm import decontaminate, html_text, jaccard_join, license_scan, line_dedup, mixing, pii, quality_fm, topk, warc_fixity
 from transcripta.llm.shared import components
+from transcripta.operators import scratch
 
 SMALL = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -395,6 +397,48 @@ def test_no_similar_lines_are_left_out_whatever_their_signatures(spark):
     assert dropped == set(range(1, len(lines), 2))
 
 
+def test_tables_of_lines_go_once_they_are_read(spark):
+    rng, v = vocabulary(52)
+    lines = [" ".join(rng.choices(v, k=20)) for _ in range(40)]
+    with scratch.noted() as made:
+        gone = line_dedup.dropped_lines(frame(spark, [*lines, *(f"{x}!" for x in lines)]))
+    assert len(made) > 10 and {Path(x).name.rsplit("-", 1)[0] for x in made if Path(x.removeprefix("file:")).exists()} == {"lines", "line-keeps"}
+    assert {r.doc_id for r in gone.collect()} == set(range(40, 80))
+
+
+def test_blocks_that_note_equal_tables_end_by_themselves(spark):
+    with scratch.noted() as outer:
+        with scratch.noted() as inner:
+            scratch.settled(spark.range(1), "one")
+        scratch.settled(spark.range(1), "two")
+    assert (len(inner), len(outer)) == (1, 2)
+
+
+def test_long_lines_meet_those_that_are_just_similar_alone(spark):
+    rng, v = vocabulary(53)
+    lines = []
+    for _ in range(30):
+        a = [rng.choice(v) + str(rng.randrange(99)) for _ in range(400)]
+        b = list(a)
+        grams = {x[i : i + 5] for x in (" ".join(a),) for i in range(len(x) - 4)}
+        while True:
+            c = list(b)
+            c[rng.randrange(400)] = rng.choice(v) + str(rng.randrange(99))
+            other = {x[i : i + 5] for x in (" ".join(c),) for i in range(len(x) - 4)}
+            if 100 * len(grams & other) < 80 * len(grams | other):
+                break
+            b = c
+        lines += [" ".join(a), " ".join(b)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "lh long, line string")
+    sets = line_dedup._sets(texts, spark.createDataFrame([], "node long, component long"))
+    assert sets.where(f"n > {line_dedup.LARGE}").count() == len(lines)
+    every = sets.selectExpr("lh").crossJoin(sets.selectExpr("lh leader")).where("lh < leader")
+    twins = {(k, k + 1) for k in range(0, len(lines), 2)}
+    assert {(r.lh, r.leader) for r in line_dedup._closer(every, sets, 80).collect()} == twins
+    assert {tuple(sorted(r)) for r in line_dedup._across(sets, 80).collect()} == twins
+    assert {r.doc_id for r in line_dedup.dropped_lines(frame(spark, lines)).collect()} == set(range(1, len(lines), 2))
+
+
 # 7
 
 
