@@ -397,6 +397,18 @@ def test_no_similar_lines_are_left_out_whatever_their_signatures(spark):
     assert dropped == set(range(1, len(lines), 2))
 
 
+def test_short_lines_are_compared_like_others(spark):
+    rng, lines, grams = random.Random(54), [], lambda x: {x[i : i + 5] for i in range(max(len(x) - 4, 1))}
+    for n in range(4, 20):
+        for _ in range(4):
+            a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+            # one more letter: similar from four shingles on
+            lines += [a, f"{a}~"]
+    want = {k for k in range(1, len(lines), 2) if 100 * len(grams(lines[k]) & grams(lines[k - 1])) >= 80 * len(grams(lines[k]) | grams(lines[k - 1]))}
+    assert 0 < len(want) < len(lines) / 2
+    assert {r.doc_id for r in line_dedup.dropped_lines(frame(spark, lines)).collect()} == want
+
+
 def test_tables_of_lines_go_once_they_are_read(spark):
     rng, v = vocabulary(52)
     lines = [" ".join(rng.choices(v, k=20)) for _ in range(40)]
