@@ -1,11 +1,12 @@
 """The segmented index against the scan: built, grown, thinned out, merged, compacted and read by bounds."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from transcripta.operators import posting_index, search
+from transcripta.operators import posting_index, scratch, search
 from transcripta.operators.posting_index import Index
 
 WORDS = ["common", "often", "seldom", "rare", "café", "мой", "한국"]
@@ -184,3 +185,29 @@ def test_dead_entries_leave_without_taking_lists_apart(spark, tmp_path):
     got = {(r.term, e.did): (e.tf, list(e.places)) for r in rows.collect() for e in r.entries}
     assert got == {(t, k): (1, [0 if t == "a" else 1]) if k % 2 else ((2, [1, 2]) if t == "a" else (1, [0])) for t in "ab" for k in range(300) if k % 3}
     assert all(r.n == len(r.entries) and r.most == max(e.tf for e in r.entries) and r.span == min(e.len / e.tf for e in r.entries) for r in rows.collect())
+
+
+def test_changes_leave_no_table_behind_and_deal_postings_out_once(spark, index, monkeypatch):
+    plans, stored = [], Index._stored
+
+    def watched(self, rows, name, buckets):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        stored(self, rows, name, buckets)
+
+    monkeypatch.setattr(Index, "_stored", watched)
+    rows = dict(drawn(0, 200, 5))
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with scratch.noted() as made:
+            index.build(frame(spark, list(rows.items()))).without(spark.range(0, 200, 3).withColumnRenamed("id", "did"))
+            index.compacted()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert {Path(x).name.rsplit("-", 1)[0] for x in made} == {"index-words", "index-gone"}
+    assert not any(Path(x.removeprefix("file:")).exists() for x in made if "index-words" in x)
+    # the lists of entries pass through one shuffle, by group, for the join and the files
+    assert plans[1].count("REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plans[1]
+    assert spark.conf.get(cleanup) == before[0]
+    agrees(spark, index, [(d, t) for d, t in rows.items() if d >= 200 or d % 3], "common", "often")

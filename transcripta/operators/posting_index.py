@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import batches_of, settled, spread
+from .scratch import batches_of, dropped, noted, settled, spread, swept
 from .search import K1, B, idf, phrase_of, scored, tokens
 
 GROUP = 128
@@ -201,14 +201,16 @@ class Index:
         documents = spread(documents)
         # cut once: the lengths that order the rows must not cut again
         words = documents.select(F.col("did").cast("long").alias("did"), F.explode(F.array(tokens(F.col("text")))).alias("words")).select("did", "words", F.size("words").alias("length"))
-        words = settled(words.sortWithinPartitions("length", "did"), "index-words")
-        words.select("did", F.col("length").cast("long").alias("length")).write.parquet(f"{self.path}/segments/{name}/lengths")
-        count = self._counted(name)
-        buckets = max(1, min(MOST_BUCKETS, count.documents // BUCKET_DOCUMENTS))
-        rows = words.select("did", "words").mapInArrow(partial(_grouped, number=number), _ROWS)
-        # a group at a time: rows are sorted by length, so a larger batch would hold a partition's longest texts together
-        with batches_of(self.spark, GROUP):
-            self._posted(rows, name, buckets)
+        with noted() as passing, swept(self.spark):
+            words = settled(words.sortWithinPartitions("length", "did"), "index-words")
+            words.select("did", F.col("length").cast("long").alias("length")).write.parquet(f"{self.path}/segments/{name}/lengths")
+            count = self._counted(name)
+            buckets = max(1, min(MOST_BUCKETS, count.documents // BUCKET_DOCUMENTS))
+            rows = words.select("did", "words").mapInArrow(partial(_grouped, number=number), _ROWS)
+            # a group at a time: rows are sorted by length, so a larger batch would hold a partition's longest texts together
+            with batches_of(self.spark, GROUP):
+                self._posted(rows, name, buckets)
+        dropped(self.spark, passing)
         return Segment(name, number, count.documents, count.length or 0, buckets)
 
     def _counted(self, name: str):
@@ -219,10 +221,13 @@ class Index:
         return count
 
     def _posted(self, rows: DataFrame, name: str, buckets: int) -> None:
-        rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-        # a frequent term's groups spread over tasks; sorted, so that statistics of pages prune
+        # a frequent term's groups spread over tasks
         spread = max(1, self.spark.sparkContext.defaultParallelism // buckets)
-        rows = rows.repartition("bucket", F.pmod(F.xxhash64("group"), F.lit(spread))).sortWithinPartitions("bucket", "term", "group")
+        self._stored(rows.repartition(_bucket(F.col("term"), buckets), F.pmod(F.xxhash64("group"), F.lit(spread))), name, buckets)
+
+    def _stored(self, rows: DataFrame, name: str, buckets: int) -> None:
+        """Rows as they are dealt out: sorted, so that statistics of pages prune."""
+        rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).sortWithinPartitions("bucket", "term", "group")
         rows.write.partitionBy("bucket").parquet(f"{self.path}/segments/{name}/postings")
 
     def _lengths(self, segment: Segment) -> DataFrame:
@@ -238,7 +243,8 @@ class Index:
             if segment.gone:
                 live = live.join(self._dead(segment), "did", "left_anti")
             name = f"{number}-{uuid.uuid4().hex}"
-            live.join(dids, "did", "left_semi").write.parquet(f"{self.path}/gone/{name}")
+            with swept(self.spark):
+                live.join(dids, "did", "left_semi").write.parquet(f"{self.path}/gone/{name}")
             gone = self.spark.read.parquet(f"{self.path}/gone/{name}").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
             if gone.n:
                 segment.gone[name] = (gone.n, gone.length)
@@ -257,17 +263,24 @@ class Index:
 
     def _union(self, segments: list[Segment], number: int) -> Segment:
         """One segment of the live rows of several: groups stay as they are, but for their dead documents."""
-        name, rows, lengths = f"{number}-{uuid.uuid4().hex}", None, None
+        name, rows, lengths, gone = f"{number}-{uuid.uuid4().hex}", None, None, None
         for s in segments:
             posted, own = self.spark.read.parquet(f"{self.path}/segments/{s.name}/postings").drop("bucket"), self._lengths(s)
             if s.gone:
-                posted, own = self._living(posted, s), own.join(self._dead(s), "did", "left_anti")
+                dead = self._gone(posted, s)
+                gone, own = dead if gone is None else gone.unionByName(dead), own.join(self._dead(s), "did", "left_anti")
             rows = posted if rows is None else rows.unionByName(posted)
             lengths = own if lengths is None else lengths.unionByName(own)
-        lengths.write.parquet(f"{self.path}/segments/{name}/lengths")
-        count = self._counted(name)
-        buckets = max(1, min(MOST_BUCKETS, count.documents // BUCKET_DOCUMENTS))
-        self._posted(rows, name, buckets)
+        with swept(self.spark):
+            lengths.write.parquet(f"{self.path}/segments/{name}/lengths")
+            count = self._counted(name)
+            buckets = max(1, min(MOST_BUCKETS, count.documents // BUCKET_DOCUMENTS))
+            if gone is None:
+                self._posted(rows, name, buckets)
+            else:
+                # postings are dealt out by group, once for the join and the files alike; a group belongs to one segment
+                tasks = max(self.spark.sparkContext.defaultParallelism, buckets)
+                self._stored(self._without(rows.repartition(tasks, "group"), gone.repartition(tasks, "group").hint("shuffle_hash")), name, buckets)
         return Segment(name, number, count.documents, count.length or 0, buckets)
 
     def _living(self, postings: DataFrame, segment: Segment) -> DataFrame:
@@ -275,10 +288,15 @@ class Index:
 
         Rows keep their groups and stay whole: only the numbers in a group meet the dead.
         """
-        dead = self._dead(segment).select("did")
+        return self._without(postings, self._gone(postings, segment))
+
+    def _gone(self, postings: DataFrame, segment: Segment) -> DataFrame:
+        """(group, gone) of the groups that hold dead documents."""
         held = postings.select("group", F.explode("entries.did").alias("did")).distinct()
         # a group has GROUP documents at most
-        gone = held.join(dead, "did", "left_semi").groupBy("group").agg(F.collect_list("did").alias("gone"))
+        return held.join(self._dead(segment).select("did"), "did", "left_semi").groupBy("group").agg(F.collect_list("did").alias("gone"))
+
+    def _without(self, postings: DataFrame, gone: DataFrame) -> DataFrame:
         rows = postings.join(gone, "group", "left")
         left = F.when(F.col("gone").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("gone", e["did"])))
         # a generator holds the filter back, which would look once for each use
