@@ -214,3 +214,16 @@ def test_sessions_are_named_without_their_counts(spark):
     assert sorted(map(str, named.collect())) == sorted(str(r) for r in tables["agent_session"].selectExpr("id session_id", "native_session_id").collect())
     # no aggregate of messages, calls or titles stands behind a name
     assert "Join" not in named._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sessions_are_not_broadcast_to_their_parts(spark):
+    from transcripta.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        for name in ("rollout_parts", "parsed_parts"):
+            rows = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+            assert rows.count() and "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

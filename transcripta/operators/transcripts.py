@@ -335,7 +335,8 @@ def _tables(messages, calls, outputs, events, notes, heads, segments) -> dict[st
     ends = messages.groupBy(*KEY).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     sources = heads.select(*KEY, "session_id").join(ends, KEY, "left")
     named = settled(heads.groupBy("agent_id", "session_id").agg(F.max("path").alias("path"), F.max_by("native_session_id", "path").alias("native_session_id")).select(*KEY, "session_id", "native_session_id"), "parsed")
-    ids = named.select(*KEY, "session_id")
+    # never broadcast: sessions grow with the input
+    ids = named.select(*KEY, "session_id").hint("shuffle_hash")
     heads = heads.join(ids, [*KEY, "session_id"], "left_semi")
 
     def of_session(rows: DataFrame) -> DataFrame:

@@ -90,8 +90,12 @@ def _lines_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _of_session(tables: dict[str, DataFrame], name: str) -> DataFrame:
-    """Rows of a table with their session's native id."""
-    return tables[name].join(tables["native_ids"].withColumnRenamed("native_session_id", "native"), "session_id")
+    """Rows of a table with their session's native id, and a hash of their text in its place."""
+    rows = tables[name]
+    if "text" in rows.columns:
+        rows = rows.withColumn("text", F.md5("text"))  # before it is shuffled
+    # never broadcast: sessions grow with the input
+    return rows.join(tables["native_ids"].withColumnRenamed("native_session_id", "native").hint("shuffle_hash"), "session_id")
 
 
 _T = "t as (select *, rn % 4 k from (select *, row_number() over (partition by conv_id order by turn) - 1 rn from conversations where text is not null))"
@@ -109,7 +113,7 @@ def parsed_messages(spark, sf_dir):
 @_registered(f"""with {_T}, p as (select *, 0 ordinal, case k when 2 then 'tool_result' when 3 then 'thinking' else 'text' end kind, md5(text) shown, k <> 3 searchable from t
 union all select *, 1, 'tool_use', null, false from t where k = 1) select 'a-' || conv_id native, rn seq, ordinal, kind, shown, searchable from p""")
 def parsed_parts(spark, sf_dir):
-    return _of_session(vendor_a(_lines_a(spark, sf_dir)), "message_part").select("native", "seq", "ordinal", "kind", F.md5("text").alias("shown"), "searchable")
+    return _of_session(vendor_a(_lines_a(spark, sf_dir)), "message_part").select("native", "seq", "ordinal", "kind", F.col("text").alias("shown"), "searchable")
 
 
 _CALLS = f"""with {_T} select c.conv_id || '-' || c.rn call, {{name}} "name", case when r.rn is not null then c.conv_id % 2 = 0 end is_error, md5(r.text) output from t c left join t r on c.conv_id = r.conv_id and r.rn = c.rn + 1 where c.k = 1"""
@@ -151,7 +155,7 @@ def rollout_messages(spark, sf_dir):
 @_registered(f"""with {_T}, p as (select *, 0 ordinal, case k when 0 then 'text' when 1 then 'tool_use' when 2 then 'tool_result' else 'thinking' end kind, case when k <> 1 then md5(text) end shown, k in (0, 2) searchable from t
 union all select *, 1, 'opaque', null, false from t where k = 3) select 'b-' || conv_id native, rn seq, ordinal, kind, shown, searchable from p""")
 def rollout_parts(spark, sf_dir):
-    return _of_session(vendor_b(_lines_b(spark, sf_dir)), "message_part").select("native", "seq", "ordinal", "kind", F.md5("text").alias("shown"), "searchable")
+    return _of_session(vendor_b(_lines_b(spark, sf_dir)), "message_part").select("native", "seq", "ordinal", "kind", F.col("text").alias("shown"), "searchable")
 
 
 @_registered(_CALLS.format(name="'shell'"))
