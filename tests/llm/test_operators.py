@@ -409,6 +409,27 @@ def test_short_lines_are_compared_like_others(spark):
     assert {r.doc_id for r in line_dedup.dropped_lines(frame(spark, lines)).collect()} == want
 
 
+def test_similar_sizes_meet_in_a_level_with_keys_enough(spark):
+    for percent in (60, 80, 95):
+        levels = {}
+        for r in spark.range(1, 3000).toDF("n").select("n", F.inline(line_dedup._levels(percent))).collect():
+            levels.setdefault(r.n, {})[r.level] = (r.parts, r.made)
+        for n in (*range(1, 400), *range(400, 2999, 97)):
+            for t in range(n, min(2999, 100 * n // percent) + 1):
+                differ = (n + t) * (100 - percent) // (100 + percent)
+                both = set(levels[n]) & set(levels[t])
+                # more parts than may differ, and so many keys of either set
+                assert any(levels[n][k][0] == levels[t][k][0] > differ < min(levels[n][k][1], levels[t][k][1]) for k in both), (percent, n, t)
+    # few keys are made in one pass
+    assert len(line_dedup._passes(spark.range(20, 2000).toDF("n"), 80)) == 1
+
+
+def test_a_pass_takes_all_lines_of_its_levels(spark):
+    lines = spark.range(1, 3000).toDF("n")
+    whole = lines.select("n", F.explode(line_dedup._levels(80).level).alias("level")).groupBy("level").agg(F.count("*").alias("c")).collect()
+    assert len(whole) > 10 and all(line_dedup._sized(lines, (r.level, r.level), 80).count() == r.c for r in whole)
+
+
 def test_tables_of_lines_go_once_they_are_read(spark):
     rng, v = vocabulary(52)
     lines = [" ".join(rng.choices(v, k=20)) for _ in range(40)]
